@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
 
 Tokens are the words between white space (A-Z in lower case) of a text and one end mark. Each task counts its own
-texts and sends one sorted run of (hash, count) for each shard of hashes; a shard's task merges the runs and stores
-them as arrays in the shared folder. A shard is a range of hashes, so that a frequent word or context does not
-make one shard larger: a bigram's shard comes from both words, and a word's row is a sum of what the shards send.
+texts and sends one sorted run of bigrams and counts for each shard of hashes; a shard's task merges the runs and
+stores them as arrays in the shared folder. A shard is a range of hashes, and the bigrams of one context lie in up to
+16 parts, so that a frequent word does not fill a shard: a word's row is a sum of what the shards send.
 Scoring tasks map the arrays and look the sorted hashes of a batch up in them. Memory holds one batch and one
 shard, whatever the input; raise ``shards`` with the input.
 """
@@ -22,7 +22,9 @@ from rowsmith.llm.common import SPACED, U64, map_array, mix, put_array, shared_p
 #: Hashes of the mark that ends a text and of the context before its first token.
 END, START = U64(0x5EED0000000E2D01), U64(0x5EED00000057A127)
 #: Tokens that a counting task holds before it sends its runs.
-FLUSH = 6_000_000
+FLUSH = 4_000_000
+#: Parts that the bigrams of one context may lie in: a context of a third of all tokens does not fill one shard.
+SALTS = 16
 #: Columns of a word's row beside its hash.
 WORD = ("count", "kinds_before", "total", "n1", "n2", "n3")
 
@@ -42,7 +44,9 @@ def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pair_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * U64(0x9E3779B97F4A7C15) + token)
+    """24 bits of the context and a salt, so that its bigrams are neighbours, then 40 bits of both words."""
+    near = mix(before * U64(0x9E3779B97F4A7C15) + (token & U64(SALTS - 1)))
+    return (near >> U64(40) << U64(40)) | (mix(before * U64(0xD6E8FEB86659FD93) + token) >> U64(24))
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -64,37 +68,67 @@ RUN = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("run", pa.list_(
 RUN_DDL = "kind string, shard int, run array<binary>"
 
 
-def runs(kind: str, shards: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard with rows: sorted keys and the columns that go with them."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Byte planes of non-negative integers: the high ones are zeros, which shuffle files compress away."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def runs(kind: str, tag: bytes, shards: int, keys: np.ndarray, columns: list, write) -> pa.RecordBatch:
+    """A row for each shard that has rows: the tag, then what ``write`` makes of the shard's part of the columns."""
     cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
     some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-    return pa.record_batch(
-        [
-            pa.array([kind] * len(some), pa.string()),
-            pa.array(some, pa.int32()),
-            pa.array([[c[cuts[s] : cuts[s + 1]].tobytes() for c in (keys, *columns)] for s in some], pa.list_(pa.binary())),
-        ],
-        schema=RUN,
-    )
+    parts = [[tag, *write(*(c[cuts[s] : cuts[s + 1]] for c in columns))] for s in some]
+    return pa.record_batch([pa.array([kind] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(parts, pa.list_(pa.binary()))], schema=RUN)
+
+
+def pair_run(before: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[bytes, ...]:
+    """A context once for each run of its bigrams."""
+    at = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+    return before[at].tobytes(), packed(np.diff(np.append(at, len(before)))), token.tobytes(), packed(n)
+
+
+def read_pairs(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    before = [np.repeat(np.frombuffer(r[1], U64), unpacked(r[2]).astype(np.int64)) for r in rows]
+    return np.concatenate(before), np.concatenate([np.frombuffer(r[3], U64) for r in rows]), np.concatenate([unpacked(r[4]) for r in rows]).astype(np.int64)
 
 
-def read_runs(table: pa.Table, types: tuple) -> tuple[np.ndarray, ...]:
-    rows = table.column("run").to_pylist()
-    return tuple(np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) if rows else np.zeros(0, t) for i, t in enumerate(types))
+def word_run(keys: np.ndarray, *columns: np.ndarray) -> tuple[bytes, ...]:
+    return keys.tobytes(), *(packed(c) for c in columns)
+
+
+def read_words(rows: list, tag: bytes, n: int) -> list[np.ndarray]:
+    rows = [r for r in rows if r[0] == tag]
+    keys = np.concatenate([np.frombuffer(r[1], U64) for r in rows]) if rows else np.zeros(0, U64)
+    return [keys, *(np.concatenate([unpacked(r[2 + i]) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64) for i in range(n))]
+
+
+def first_of_each(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+
+
+def numbers_for(kind: str, shard: int, numbers: np.ndarray) -> pa.RecordBatch:
+    """A short row for the driver."""
+    return pa.record_batch([[kind], pa.array([shard], pa.int32()), pa.array([[numbers.astype(np.int64).tobytes()]], pa.list_(pa.binary()))], schema=RUN)
 
 
 def count_task(shards: int):
-    """mapInArrow: texts to runs of word counts and of bigram counts."""
+    """mapInArrow: texts to sorted runs of bigram counts."""
 
-    def flush(tokens: list, before: list) -> Iterator[pa.RecordBatch]:
+    def flush(tokens: list, before: list) -> pa.RecordBatch:
         t, b = np.concatenate(tokens), np.concatenate(before)
-        yield runs("word", shards, *summed(t, np.ones(len(t), np.int64)))
+        tokens.clear()
+        before.clear()
         h = pair_hash(b, t)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(at, len(h))).astype(np.uint32)
-        yield runs("pair", shards, h[at], b[order][at], t[order][at], n)
+        at = first_of_each(h)
+        n = np.diff(np.append(at, len(h)))
+        h, order = h[at], order[at]
+        return runs("pair", b"", shards, h, [b[order], t[order], n], pair_run)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, before, held = [], [], 0
@@ -106,10 +140,10 @@ def count_task(shards: int):
                 before.append(b)
                 held += len(t)
                 if held >= FLUSH:
-                    yield from flush(tokens, before)
-                    tokens, before, held = [], [], 0
+                    yield flush(tokens, before)
+                    held = 0
         if held:
-            yield from flush(tokens, before)
+            yield flush(tokens, before)
 
     return run
 
@@ -118,30 +152,25 @@ def pair_task(uri: str, shards: int):
     """applyInArrow of one shard: store its bigrams, send on what their words need to know of them."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        kind, shard = key[0].as_py(), key[1].as_py()
-        if kind == "word":
-            h, n = read_runs(table, (U64, np.int64))
-            h, n = summed(h, n)
-            z = np.zeros_like(n)
-            return pa.Table.from_batches([runs("row", shards, h, n, z, z, z, z, z)], RUN)
-        # The context is left out of the keys' sums: with a key go one context and one token.
-        h, b, t, n = read_runs(table, (U64, U64, U64, np.uint32))
+        shard = key[1].as_py()
+        b, t, n = read_pairs(table.column("run").to_pylist())
+        h = pair_hash(b, t)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.add.reduceat(n[order].astype(np.int64), at)
-        h, b, t = h[at], b[order][at], t[order][at]
+        at = first_of_each(h)
+        n = np.add.reduceat(n[order], at)
+        h, b, t = h[at], b[order[at]], t[order[at]]
         put_array(f"{uri}/pair-{shard}-key.npy", h)
-        put_array(f"{uri}/pair-{shard}-count.npy", n.astype(np.uint32 if n.max() < 2**32 else np.int64))
-        u, total, n1, n2, n3 = summed(b, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
-        v, kinds = summed(t, np.ones(len(t), np.int64))
-        z, y = np.zeros_like(total), np.zeros_like(kinds)
-        many = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
+        many = np.flatnonzero(n >= 255)
+        put_array(f"{uri}/pair-{shard}-count.npy", np.minimum(n, 255).astype(np.uint8))
+        put_array(f"{uri}/pair-{shard}-many.npy", np.stack([many, n[many]]))
+        u, *of_context = summed(b, n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
+        v, *of_word = summed(t, n, np.ones(len(t), np.int64))
         return pa.Table.from_batches(
             [
-                runs("row", shards, u, z, z, total, n1, n2, n3),
-                runs("row", shards, v, y, kinds, y, y, y, y),
-                pa.record_batch([["pairs"], pa.array([shard], pa.int32()), pa.array([[many.tobytes()]], pa.list_(pa.binary()))], schema=RUN),
+                runs("row", b"context", shards, u, [u, *of_context], word_run),
+                runs("row", b"word", shards, v, [v, *of_word], word_run),
+                numbers_for("pairs", shard, np.array([(n == k).sum() for k in (1, 2, 3, 4)])),
             ],
             RUN,
         )
@@ -156,13 +185,17 @@ def word_task(uri: str, shards: int):
         kind, shard = key[0].as_py(), key[1].as_py()
         if kind == "pairs":
             return table
-        h, *columns = summed(*read_runs(table, (U64, *[np.int64] * len(WORD))))
+        rows = table.column("run").to_pylist()
+        u, *of_context = read_words(rows, b"context", 4)
+        v, *of_word = read_words(rows, b"word", 2)
+        nothing = lambda k, n: [np.zeros(len(k), np.int64)] * n
+        h, *columns = summed(np.concatenate([v, u]), *(np.concatenate(x) for x in zip([*of_word, *nothing(v, 4)], [*nothing(u, 2), *of_context], strict=True)))
         put_array(f"{uri}/word-{shard}-key.npy", h)
         for name, c in zip(WORD, columns, strict=True):
             put_array(f"{uri}/word-{shard}-{name}.npy", c.astype(np.uint32 if c.max() < 2**32 else np.int64))
         count, kinds = columns[0], columns[1]
-        sums = np.array([count.sum(), (count > 0).sum(), kinds.sum(), *((kinds == k).sum() for k in (1, 2, 3, 4)), (kinds > 2).sum()], np.int64)
-        return pa.Table.from_batches([pa.record_batch([["words"], pa.array([shard], pa.int32()), pa.array([[sums.tobytes()]], pa.list_(pa.binary()))], schema=RUN)], RUN)
+        sums = [count.sum(), (count > 0).sum(), kinds.sum(), *((kinds == k).sum() for k in (1, 2, 3, 4)), (kinds > 2).sum()]
+        return pa.Table.from_batches([numbers_for("words", shard, np.array(sums))], RUN)
 
     return run
 
@@ -224,7 +257,8 @@ class Arrays:
 
     def look_up(self, h: np.ndarray) -> list[np.ndarray]:
         """``h`` sorted: neighbours in the query are neighbours on disk."""
-        out = [np.zeros(len(h), np.int64) for _ in self.names]
+        width = len(WORD) if self.level == "word" else 1
+        out = [np.zeros(len(h), np.int64) for _ in range(width)]
         cuts = np.searchsorted(shard_of(h, self.model["shards"]), np.arange(self.model["shards"] + 1))
         for shard in range(self.model["shards"]):
             i, j = cuts[shard], cuts[shard + 1]
@@ -232,8 +266,13 @@ class Arrays:
                 keys, *columns = self._open(shard)
                 at = np.minimum(np.searchsorted(keys, h[i:j]), len(keys) - 1)
                 hit = keys[at] == h[i:j]
-                for o, c in zip(out, columns, strict=True):
-                    o[i:j][hit] = c[at[hit]]
+                at = at[hit]
+                for o, c in zip(out, columns, strict=False):
+                    o[i:j][hit] = c[at]
+                if self.level == "pair":  # counts of 255 and more are listed
+                    large = np.flatnonzero(out[0][i:j] == 255)
+                    places, counts = columns[1]
+                    out[0][i:j][large] = counts[np.searchsorted(places, np.minimum(np.searchsorted(keys, h[i:j][large]), len(keys) - 1))]
         return out
 
 
@@ -260,7 +299,7 @@ def score_task(model: dict):
         return count[t], p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Arrays(model, "word", WORD), Arrays(model, "pair", ("count",))
+        words, pairs = Arrays(model, "word", WORD), Arrays(model, "pair", ("count", "many"))
         for batch in batches:
             if not batch.num_rows:
                 continue
