@@ -190,6 +190,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, leader_rounds: int = 2) -> DataFrame:
+    """(id, component) of the nodes that verified links connect; only nodes that share a bucket can be linked.
+
+    ``members`` has (bucket, node) without repeats, ``verify`` keeps the pairs (a, b) that are linked. A bucket's
+    nodes are compared with its leader, the node with most company, and what that leaves apart with a second
+    leader. Then each node outside its bucket's main component is compared with every node of another component.
+    So all pairs of a bucket are compared or already connected, and a large group of near copies costs a
+    comparison for each copy, not for each pair.
+    """
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), name)
+    shared = written(members.join(sizes, "bucket").select("bucket", "node", "n"), name)
+    degree = written(shared.groupBy("node").agg(F.sum("n").alias("degree")), name)
+    shared = written(shared.join(degree, "node").select("bucket", "node", "degree"), name)
+    state, outside = shared.withColumn("comp", F.col("node")), None
+    compared = links = groups = None
+    for turn in range(leader_rounds + 1):
+        if links is not None:
+            main = state.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"))
+            main = written(main.select("bucket", F.col("m.comp").alias("main")), name)
+            outside = written(state.join(main, "bucket").filter("comp <> main"), name)
+            if outside.isEmpty():
+                break
+        if turn < leader_rounds:
+            lead = (state if outside is None else outside).groupBy("bucket").agg(F.max(F.struct("degree", "node", "comp")).alias("m"))
+            lead = written(lead.select("bucket", F.col("m.node").alias("other"), F.col("m.comp").alias("other_comp")), name)
+            pairs = state.join(lead, "bucket").filter("comp <> other_comp")
+        else:
+            rest = outside.select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp"), "main")
+            pairs = state.join(rest, "bucket").filter("comp <> other_comp and (comp = main or node < other)")
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), name)
+        found = written(verify(pairs).select("a", "b").distinct(), name)
+        compared = pairs if compared is None else compared.union(pairs)
+        links = found if links is None else links.union(found)
+        groups = components(links, name)
+        state = written(shared.join(groups, shared.node == groups.id, "left").select("bucket", "node", "degree", F.coalesce("component", "node").alias("comp")), name)
+    return groups
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed; null is empty."""
     text = F.coalesce(text, F.lit(""))
