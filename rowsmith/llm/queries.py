@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import chat, decontam, lm, minhash, pieces, quality, tokens, vectors
+from rowsmith.llm import chat, decontam, licenses, lines, lm, minhash, pieces, quality, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +47,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summaries(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -61,10 +69,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_license_scans": op7_license_scans,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_decontamination": op10_decontamination,
