@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm.common import ALNUM, U64, linked, mix, slices, text_bytes, words_of, written
@@ -155,37 +155,65 @@ def verify_task(threshold: float):
     return run
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
-    """A row for each row of ``docs``: its group, the size of the group, and whether it is the one that stays.
-
-    ``component_id`` is the smallest ``doc_id`` among the rows linked, directly or through others, by a similarity of
-    ``threshold`` or more; ``kept`` is true where it equals the row's own. A text that is null or has no words is
-    linked with nothing and is kept. A null ``doc_id`` is larger than any. Rows repeated with the same id and
-    text are the same document and get the same answer. Columns besides ``doc_id`` and ``text`` are not read. At the
-    threshold a pair shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
-    """
+def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataFrame:
+    """(doc_id, row_key, component_id, kept_key, group_size) of each row; null where a text has no words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("row_key", row_key())
     signed = written(docs.select("doc_id", "row_key", "text").mapInArrow(sign_task(bands, width), "doc_id long, row_key long, node binary, bands array<long>"), "signed")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row_key").alias("row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    classes = signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("n"))
     classes = written(classes, "classes")
-    one = signed.filter("node is not null").join(classes.select("node", "row_key"), ["node", "row_key"], "left_semi")
+    one = signed.filter("node is not null").join(classes.select("node", F.col("first.row_key").alias("row_key")), ["node", "row_key"], "left_semi")
     members = one.select("node", F.explode("bands").alias("bucket")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = written(classes.join(wanted, "node", "left_semi").select("row_key"), "wanted")
+        wanted = written(classes.join(wanted, "node", "left_semi").select("first.row_key"), "wanted")
         texts = docs.select("row_key", "text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
         sets = written(texts.select("text").mapInArrow(set_task, "node binary, hashes binary, counts binary"), "sets")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify_task(threshold), "a binary, b binary")
 
     found = linked(members, verify, "minhash")
-    labels = classes.join(found, classes.node == found.id, "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("component"))
+    labels = classes.join(found, classes.node == found.id, "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
     labels = written(labels, "labels")
-    sums = written(labels.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size")), "groups")
-    labels = written(labels.join(sums, "component").select("node", "component_id", "group_size"), "labels")
-    out = signed.select("doc_id", "node").join(labels, "node", "left")
-    own = F.col("node").isNull()
-    out = out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    sums = written(labels.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("group_size")), "groups")
+    labels = labels.select("node", "component").join(sums, "component")
+    labels = written(labels.select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("kept_key"), "group_size"), "labels")
+    return signed.select("doc_id", "row_key", "node").join(labels, "node", "left").drop("node")
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
+    """A row for each row of ``docs``: its group, the size of the group, and whether it is the one that stays.
+
+    ``component_id`` is the smallest ``doc_id`` among the rows linked, directly or through others, by a similarity of
+    ``threshold`` or more, and the row with it stays. A text that is null or has no words is linked with nothing
+    and stays. A null ``doc_id`` is larger than any. Rows repeated with the same id and text are the same document
+    and get the same answer. Columns besides ``doc_id`` and ``text`` are not read. At the threshold a pair shares a
+    band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
+    """
+    rows = labelled(docs, threshold, bands, width)
+    alone = F.col("kept_key").isNull()
+    return rows.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("row_key") == F.col("kept_key"))).alias("kept"),
+    )
+
+
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` keeps, with all their columns; of rows repeated whole, one stays."""
+    rows = written(labelled(docs, threshold, bands, width).filter("kept_key is not null").select("row_key", "kept_key"), "row-labels")
+    gone = rows.filter("row_key <> kept_key").select("row_key").distinct()
+    again = written(rows.filter("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "repeated")
+    keyed = docs.withColumn("__row_key", row_key())
+    stay = keyed.join(gone, F.col("__row_key") == gone.row_key, "left_anti")
+    if not again.isEmpty():
+        whole = stay.join(again, F.col("__row_key") == again.row_key, "left_semi").dropDuplicates(["__row_key"])
+        stay = stay.join(again, F.col("__row_key") == again.row_key, "left_anti").union(whole)
+    return stay.drop("__row_key")
