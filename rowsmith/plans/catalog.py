@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rowsmith.plans import merges, reports, texts
+from rowsmith.plans.tables import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+BOOKS = (reports.book, merges.book, texts.book)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def report_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: count, distinct customers, average and conditional share per nation."""
-    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    big = F.sum(F.when(F.col("o_totalprice") > 150000, 1).otherwise(0))
-    return (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .groupBy("n_name")
-        .agg(
-            F.count("*").alias("total"),
-            F.countDistinct("c_custkey").alias("customers"),
-            F.round(F.avg("o_totalprice"), 2).alias("avg_price"),
-            big.alias("big_orders"),
-            F.round(big * F.lit(100.0).cast("double") / F.count("*"), 2).alias("big_pct"),
-        )
-        .orderBy(F.desc("total"), "n_name")
-    )
-
-
-SQL: dict[str, str] = {
-    "report_by_group": """
-        SELECT n_name, count(*) AS total, count(DISTINCT c_custkey) AS customers, round(avg(o_totalprice), 2) AS avg_price,
-               CAST(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS big_orders,
-               round(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*), 2) AS big_pct
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        GROUP BY n_name ORDER BY total DESC, n_name""",
-}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"report_by_group": report_by_group}
+def queries() -> dict[str, Query]:
+    return {name: q for b in BOOKS for name, q in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: s for b in BOOKS for name, s in b.sql.items()}
