@@ -103,8 +103,12 @@ def canonical_json(df: DataFrame, conv_id: str = "conv_id", payload: str = "payl
     """
     lists = sorted({x["list"][0] for x in LAYOUTS if "list" in x})
     keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
-    inner = lambda n: F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{n}[0]")), F.array().cast("array<string>"))
-    paths = F.concat(F.filter(keys, lambda k: ~k.isin(lists)), *(F.transform(inner(n), lambda k, n=n: F.concat(F.lit(f"{n}[]."), k)) for n in lists))
+
+    def inner(name: str) -> Column:
+        found = F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]")), F.array().cast("array<string>"))
+        return F.transform(found, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    paths = F.concat(F.filter(keys, lambda k: ~k.isin(lists)), *map(inner, lists))
     paths = F.filter(F.array_distinct(paths), lambda p: p.isin(sorted(KNOWN)))
     rows = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(payload).alias("payload"), F.sha2(F.array_join(F.array_sort(paths), ","), 256).alias("fingerprint"))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
