@@ -223,7 +223,7 @@ def fit(texts: DataFrame, shards: int | None = None) -> dict:
     pairs = counted.groupBy("kind", "shard").applyInArrow(pair_task(uri, shards), RUN_DDL)
     rows = pairs.groupBy("kind", "shard").applyInArrow(word_task(uri, shards), RUN_DDL)
     of_words, of_pairs, stored = np.zeros(8, np.int64), np.zeros(4, np.int64), {"word": [], "pair": []}
-    for row in rows.toLocalIterator():  # two short rows for each shard
+    for row in rows.collect():  # two short rows for each shard
         if row.kind == "words":
             of_words += np.frombuffer(row.run[0], np.int64)
             stored["word"].append(row.shard)
