@@ -164,12 +164,12 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Call
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b): component is the smallest id reachable.
+    """(id, component) of every id in ``edges`` (a, b) but the components themselves: the smallest ids reachable.
 
     Alternating large-star and small-star rounds: each node's neighbours hang from the smallest of them, so that
     the number of rounds grows with the logarithm of a path. An edge table is at most as long as the input in each
     round and is written to the shared folder. Minima are pre-aggregated, so that a node with very many neighbours
-    needs no more than a sum per task.
+    needs no more than a row per task.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -179,54 +179,86 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return tied if large else tied.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
     edges = written(edges.select("a", "b").filter("a <> b").distinct(), name)
-    mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = written(star(both, True).filter("a <> b").distinct(), name)
         edges = written(star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False).filter("a <> b").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if now == mark:
+        # Done when each node hangs from one other, and none from a node that hangs itself.
+        ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("hangs").alias("n"), F.max("holds").alias("holds")).filter("n > 1 or n = 1 and holds = 1").isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        mark = now
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, leader_rounds: int = 2) -> DataFrame:
-    """(id, component) of the nodes that verified links connect; only nodes that share a bucket can be linked.
+#: Nodes of a side of a block in which all pairs are compared.
+BLOCK = 256
 
-    ``members`` has (bucket, node) without repeats, ``verify`` keeps the pairs (a, b) that are linked. A bucket's
-    nodes are compared with its leader, the node with most company, and what that leaves apart with a second
-    leader. Then each node outside its bucket's main component is compared with every node of another component.
-    So all pairs of a bucket are compared or already connected, and a large group of near copies costs a
-    comparison for each copy, not for each pair.
+
+def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], Iterable[tuple[int, int]]], name: str, block: int = BLOCK) -> DataFrame:
+    """(id, component) of the nodes that verified links connect; only nodes that share a bucket need be compared.
+
+    ``members`` has (bucket, node) without repeats. ``prepare`` gives a row (node, ...) of what verifying needs for each
+    node that has company. First a bucket's nodes are compared with its leader, the node with most company: ``verify``
+    keeps those of the pairs (a, b) that are linked. Nodes linked with the same node are one group. What then lies
+    outside its bucket's main group is attached to that group, and all that is attached is compared with the
+    whole group and with one another, in blocks: ``verify_block`` yields linked rows of two tables of facts, and of
+    these only as many are returned as connect the block. So all pairs of a bucket are compared or known to be
+    connected, no pair is a row but those with a leader, and a block is all that a task holds.
     """
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), name)
     shared = written(members.join(sizes, "bucket").select("bucket", "node", "n"), name)
     degree = written(shared.groupBy("node").agg(F.sum("n").alias("degree")), name)
+    facts = prepare(degree.select("node"))
     shared = written(shared.join(degree, "node").select("bucket", "node", "degree"), name)
-    state, outside = shared.withColumn("comp", F.col("node")), None
-    compared = links = groups = None
-    for turn in range(leader_rounds + 1):
-        if links is not None:
-            main = state.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"))
-            main = written(main.select("bucket", F.col("m.comp").alias("main")), name)
-            outside = written(state.join(main, "bucket").filter("comp <> main"), name)
-            if outside.isEmpty():
-                break
-        if turn < leader_rounds:
-            lead = (state if outside is None else outside).groupBy("bucket").agg(F.max(F.struct("degree", "node", "comp")).alias("m"))
-            lead = written(lead.select("bucket", F.col("m.node").alias("other"), F.col("m.comp").alias("other_comp")), name)
-            pairs = state.join(lead, "bucket").filter("comp <> other_comp")
-        else:
-            rest = outside.select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp"), "main")
-            pairs = state.join(rest, "bucket").filter("comp <> other_comp and (comp = main or node < other)")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), name)
-        found = written(verify(pairs).select("a", "b").distinct(), name)
-        compared = pairs if compared is None else compared.union(pairs)
-        links = found if links is None else links.union(found)
-        groups = components(links, name)
-        state = written(shared.join(groups, shared.node == groups.id, "left").select("bucket", "node", "degree", F.coalesce("component", "node").alias("comp")), name)
-    return groups
+    lead = written(shared.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("m")).select("bucket", F.col("m.node").alias("other")), name)
+    pairs = shared.join(lead, "bucket").filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = written(verify(written(pairs, name), facts).select("a", "b").distinct(), name)
+
+    near = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    best = near.join(degree.select(F.col("node").alias("other"), F.col("degree").alias("of")), "other").groupBy("node").agg(F.max(F.struct(F.col("of").alias("degree"), F.col("other").alias("node"))).alias("best"))
+    best = written(best, name)
+    state = shared.join(best, "node", "left").select("bucket", "node", F.greatest(F.struct("degree", "node"), "best")["node"].alias("label"))
+    state = written(state, name)
+    main = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"))
+    main = written(main.select("bucket", F.col("m.label").alias("main")), name)
+    apart = written(state.join(main, "bucket").filter("label <> main").select(F.col("main").alias("cluster"), "node").distinct(), name)
+    if not apart.isEmpty():
+        links = links.union(written(_linked_in_blocks(apart, state, facts, verify_block, name, block), name))
+    return components(links, name)
+
+
+def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int) -> DataFrame:
+    """Links of the attached nodes (cluster, node) with one another and with the nodes that have the cluster as label."""
+    whole = written(state.select(F.col("label").alias("cluster"), "node").union(apart).distinct(), name)
+    blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    sizes = written(blocks(apart, "left_n").join(blocks(whole, "right_n"), "cluster"), name)
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = apart.join(sizes, "cluster").select("cluster", "node", F.lit(0).alias("side"), own("left_n").alias("i"), each("right_n").alias("j"))
+    right = whole.join(sizes, "cluster").select("cluster", "node", F.lit(1).alias("side"), each("left_n").alias("i"), own("right_n").alias("j"))
+    rows = left.union(right).join(facts, "node")
+    kind = facts.schema["node"].dataType.simpleString()
+
+    def task(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        parts = [table.filter(pa.array(side == k)) for k in (0, 1)]
+        names = [p.column("node").to_pylist() for p in parts]
+        up: dict = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        found = []
+        for i, j in verify_block(*parts):
+            a, b = root(names[0][i]), root(names[1][j])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((min(names[0][i], names[1][j]), max(names[0][i], names[1][j])))
+        types = table.schema.field("node").type
+        return pa.table({"a": pa.array([x[0] for x in found], types), "b": pa.array([x[1] for x in found], types)})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(task, f"a {kind}, b {kind}").distinct()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -155,6 +155,43 @@ def verify_task(threshold: float):
     return run
 
 
+def linked_block(threshold: float):
+    """Links of two tables of sets: shares of common weight by matrix products, then J_P of the pairs that these leave.
+
+    J_P is at most the share of either's weight that is common, so that a pair with less than the threshold is out.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int]]:
+        sides = []
+        for table in (left, right):
+            h = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+            w = [np.frombuffer(x, np.uint32) if x else None for x in table.column("counts").to_pylist()]
+            sides.append((h, w, table.column("node").to_pylist()))
+        kinds = [np.unique(np.concatenate(h)) if h else np.zeros(0, U64) for h, _, _ in sides]
+        common = np.intersect1d(*kinds, assume_unique=True)
+        shares = np.zeros((2, len(sides[0][0]), len(sides[1][0])))
+        for at in range(0, len(common), 8192):  # so many columns at once
+            part = common[at : at + 8192]
+            there, share = [], []
+            for h, w, _ in sides:
+                one, weight = np.zeros((len(h), len(part)), np.float32), np.zeros((len(h), len(part)), np.float32)
+                for k, x in enumerate(h):
+                    where = np.minimum(np.searchsorted(part, x), len(part) - 1)
+                    hit = part[where] == x
+                    counts = np.ones(len(x), np.float32) if w[k] is None else w[k].astype(np.float32)
+                    one[k, where[hit]] = 1
+                    weight[k, where[hit]] = counts[hit] / counts.sum(dtype=np.float64)
+                there.append(one)
+                share.append(weight)
+            shares[0] += share[0] @ there[1].T
+            shares[1] += there[0] @ share[1].T
+        for i, j in np.argwhere(shares.min(axis=0) >= threshold - 1e-3).tolist():
+            if sides[0][2][i] != sides[1][2][j] and probability_jaccard(sides[0][0][i], sides[0][1][i], sides[1][0][j], sides[1][1][j]) >= threshold:
+                yield i, j
+
+    return run
+
+
 def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataFrame:
     """(doc_id, row_key, component_id, kept_key, group_size) of each row; null where a text has no words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -166,15 +203,16 @@ def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataF
     one = signed.filter("node is not null").join(classes.select("node", F.col("first.row_key").alias("row_key")), ["node", "row_key"], "left_semi")
     members = one.select("node", F.explode("bands").alias("bucket")).distinct()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = written(classes.join(wanted, "node", "left_semi").select("first.row_key"), "wanted")
+    def prepare(nodes: DataFrame) -> DataFrame:
+        wanted = written(classes.join(nodes, "node", "left_semi").select("first.row_key"), "wanted")
         texts = docs.select("row_key", "text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
-        sets = written(texts.select("text").mapInArrow(set_task, "node binary, hashes binary, counts binary"), "sets")
+        return written(texts.select("text").mapInArrow(set_task, "node binary, hashes binary, counts binary"), "sets")
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify_task(threshold), "a binary, b binary")
 
-    found = linked(members, verify, "minhash")
+    found = linked(members, prepare, verify, linked_block(threshold), "minhash")
     labels = classes.join(found, classes.node == found.id, "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
     labels = written(labels, "labels")
     sums = written(labels.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("group_size")), "groups")
