@@ -18,12 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm.common import U64, components, mix, written
 
 THRESHOLD, BLOCKS, GRID = 0.98, 8, 4
+#: Coordinates of a block that the join compares; a block of more is compared by the first ones, which loses no pair.
+PROBES = [f"p{k}" for k in range(8)]
 
 
 @lru_cache(maxsize=8)
@@ -46,7 +49,7 @@ def class_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "node"])
 
 
-PLACES = pa.schema([("node", pa.binary()), ("bucket", pa.int64()), ("home", pa.bool_()), ("budget", pa.float64()), ("place", pa.list_(pa.float32()))])
+PLACES = pa.schema([("node", pa.binary()), ("bucket", pa.int64()), ("home", pa.bool_()), ("budget", pa.float64()), *((p, pa.float32()) for p in PROBES)])
 
 
 def place_task(threshold: float, blocks: int, grid: int):
@@ -65,7 +68,8 @@ def place_task(threshold: float, blocks: int, grid: int):
             inner = own - cell  # 0 to 1: a side is as far as this share of two radii
             step = np.where(inner < 0.5, -1, 1)
             gap = (np.where(inner < 0.5, inner, 1 - inner) * 2) ** 2  # in squared radii
-            block = pa.FixedSizeListArray.from_arrays(pa.array(x[:, part].astype(np.float32).reshape(-1)), len(part)).cast(pa.list_(pa.float32()))
+            probes = np.zeros((len(x), len(PROBES)), np.float32)
+            probes[:, : min(len(part), len(PROBES))] = x[:, part[: len(PROBES)]]
             for mask in range(1 << own.shape[1]):
                 bits = np.array([(mask >> k) & 1 for k in range(own.shape[1])])
                 at = np.flatnonzero((gap * bits).sum(axis=1) <= 1 + 1e-6)
@@ -73,8 +77,7 @@ def place_task(threshold: float, blocks: int, grid: int):
                 for c in (cell[at] + step[at] * bits).T:
                     key = mix(key * U64(0x9E3779B97F4A7C15) + c.astype(U64))
                 if len(at):
-                    where = pa.array(at)
-                    yield pa.record_batch([pa.array(nodes[at].tolist(), pa.binary()), pa.array(key.view(np.int64)), pa.array(np.full(len(at), mask == 0)), pa.array(np.full(len(at), budget)), block.take(where)], schema=PLACES)
+                    yield pa.record_batch([pa.array(nodes[at].tolist(), pa.binary()), pa.array(key.view(np.int64)), pa.array(np.full(len(at), mask == 0)), pa.array(np.full(len(at), budget)), *(pa.array(c) for c in probes[at].T.copy())], schema=PLACES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +97,15 @@ def place_task(threshold: float, blocks: int, grid: int):
 def verify_task(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for u, v in zip(batch.column("va"), batch.column("vb"), strict=True):
-                x, y = (z.values.to_numpy(zero_copy_only=False).astype(np.float64) for z in (u, v))
-                keep.append(bool(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= threshold))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            u, v = batch.column("va"), batch.column("vb")
+            sizes = pa.compute.list_value_length(u).to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for dims in np.unique(sizes):  # one, unless a label has vectors of several lengths
+                at = np.flatnonzero(sizes == dims)
+                x, y = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1) for c in (u, v))
+                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+                keep[at] = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))) >= threshold
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -118,11 +125,11 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCK
     sums = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     classes = written(sums, "classes")
     whole = written(rows.filter("node is not null").select("node", "label", "embedding").dropDuplicates(["node"]), "whole")
-    places = written(whole.mapInArrow(place_task(threshold, blocks, grid), "node binary, bucket long, home boolean, budget double, place array<float>"), "places")
-    near = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) <= F.col("budget") + 1e-6
-    homes = places.filter("home").select("bucket", F.col("node").alias("a"), F.col("place").alias("pa"), "budget")
-    others = places.select("bucket", F.col("node").alias("b"), F.col("place").alias("pb"))
-    found = homes.join(others, "bucket").filter((F.col("a") != F.col("b")) & near)
+    places = written(whole.mapInArrow(place_task(threshold, blocks, grid), "node binary, bucket long, home boolean, budget double, " + ", ".join(f"{p} float" for p in PROBES)), "places")
+    near = sum(((F.col(p) - F.col(f"{p}b")) * (F.col(p) - F.col(f"{p}b")) for p in PROBES), F.lit(0.0)) <= F.col("budget") + 1e-6
+    homes = places.filter("home").select("bucket", F.col("node").alias("a"), "budget", *PROBES)
+    others = places.select("bucket", F.col("node").alias("b"), *(F.col(p).alias(f"{p}b") for p in PROBES))
+    found = homes.join(others, "bucket").filter(near & (F.col("a") != F.col("b")))
     pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     side = lambda x: whole.select(F.col("node").alias(x), F.col("embedding").alias(f"v{x}"))
     links = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb").mapInArrow(verify_task(threshold), "a binary, b binary"), "links")
