@@ -205,7 +205,8 @@ def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataF
 
     def prepare(nodes: DataFrame) -> DataFrame:
         wanted = written(classes.join(nodes, "node", "left_semi").select("first.row_key"), "wanted")
-        texts = docs.select("row_key", "text").join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"])
+        # Keys of the documents with company grow with the input: the same plan at every size, no broadcast of them.
+        texts = docs.select("row_key", "text").join(wanted.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
         return written(texts.select("text").mapInArrow(set_task, "node binary, hashes binary, counts binary"), "sets")
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
