@@ -150,6 +150,26 @@ def test_lines_against_brute_force(spark):
         assert r.kept == (place == want)
 
 
+def test_lines_with_changed_words_are_found(spark):
+    """Of pairs of lines of 5 to 50 words at an edit similarity of 0.8 or more, without regard to their SimHashes."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, near = [], {}
+    for i in range(150):
+        a = [word() for _ in range(rng.randrange(5, 51))]
+        b = list(a)
+        for k in rng.sample(range(len(a)), rng.randrange(1, max(2, len(a) // 6))):
+            b[k] = word()
+        a, b = " ".join(a), " ".join(b)
+        rows += [(2 * i, a, None), (2 * i + 1, b, None)]
+        near[2 * i + 1] = 1 - edit(a, b) / max(len(a), len(b)) >= lines.THRESHOLD
+    got = {r.doc_id: r.kept_doc_id for r in lines.line_groups(documents(spark, rows)).collect()}
+    found = sum(got[i] == i - 1 for i in near if near[i])
+    assert sum(near.values()) > 100
+    assert found >= 0.95 * sum(near.values())
+    assert all(got[i] == i for i in got if not near.get(i))
+
+
 def test_line_dedup_rewrites_documents(spark):
     rows = [(1, "keep me please\nsame line here\n\nend of one", "a"), (2, "Same LINE, here!\nonly in two\n---\n---", "a"), (3, "same line here", "b"), (4, None, "c"), (5, "", "c"), (6, "...\n...", "c")]
     got = {r.doc_id: r for r in lines.dedup_lines(documents(spark, rows).withColumn("n_chars", F.length("text").cast("long"))).collect()}
