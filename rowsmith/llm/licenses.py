@@ -1,8 +1,9 @@
 """License detection by ordered signature rules.
 
 A text is searched as its words (A-Z in lower case; letters, digits and non-ASCII characters) with one space
-between. Hundreds of rules, each a regular expression, a label and a priority, are gated: a text without any of a few
-stems is not searched at all, and a rule's expression runs only where its keyword stands. Of overlapping finds, one that
+between. Hundreds of rules, each a regular expression, a label and a priority, are gated: an expression runs only in texts
+that have, of each of the rule's gates, one of the strings. Gates are read off the expression, so that whatever it finds
+has them. Of overlapping finds, one that
 lies inside a longer find is dropped, and of finds over the same words only that of the highest priority stays,
 of equals the rule that comes first. Three base phrases are found in all texts and are never dropped.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as C
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
-#: A text with none of these is not searched.
-STEMS = (b"licen", b"gpl", b"copyright", b"copyleft", b"public domain", b"creative commons", b"cc ", b"spdx", b"warrant", b"permission", b"redistribut", b"rights reserved")
+#: Parts of many rules' strings, looked for before these.
+STEMS = (b"spdx", b"licen", b"copyright", b"creative commons", b"permi", b"redistribut")
 
 #: label; names by which a text calls the license (expressions over words); its SPDX identifier in words. A name counts
 #: with a word of licensing beside it, an identifier behind an SPDX tag.
@@ -103,40 +106,40 @@ llama-3; llama 3( [1-3])? community; llama3
 openrail; (creativeml |bigscience |bigcode )?open ?rail( m)?; openrail
 """
 
-#: label; sentences and phrases of the license's own text or of usual notices; a keyword that each find has.
+#: label; sentences and phrases of the license's own text or of usual notices.
 PHRASES = r"""
-mit; permission is hereby granted free of charge to any person obtaining a copy of this software; permission
-mit; the above copyright notice and this permission notice shall be included in all copies; copyright
-mit; licensed (under|with) (the )?mit( licen[cs]e)?; licens
-isc; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted; permission
-apache-2; licensed under the apache license version 2( 0)?( the license)?; licensed
-apache-2; you may not use this file except in compliance with the license; complian
-bsd-2-clause; redistribution and use in source and binary forms with or without modification are permitted; redistribut
-bsd-3-clause; neither the name of( the)? [^ ]+( [^ ]+){0,6} nor the names of its contributors; neither
-bsd-4-clause; all advertising materials mentioning features or use of this software must display; advertising
-gpl-2; either version 2 of the license or (at your option )?any later version; version 2
-gpl-3; either version 3 of the license or (at your option )?any later version; version 3
-gpl; this program is free software you can redistribute it and or modify it; redistribut
-gpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(gpl|general public license); under
-lgpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(lgpl|lesser general public license); under
-agpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(agpl|affero general public license); under
-mpl-2; this source code form is subject to the terms of the mozilla public license; mozilla
-epl-2; this program and the accompanying materials are made available under the terms of the eclipse public license; eclipse
-bsl-1; permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation; permission
-zlib; altered source versions must be plainly marked as such; altered
-unlicense; this is free and unencumbered software released into the public domain; public domain
-cc-by; this work is licensed under (a|the) creative commons attribution( [1-4] [05])?( international)? license; creative
-cc; (this work is )?licensed under (a|the) creative commons; creative
-public-domain; (released|dedicated|placed) (in|into|to) the public domain; public domain
-public-domain; this (work|file|text|code) is in the public domain; public domain
-ofl-1.1; this font software is licensed under the sil open font license; font
-proprietary; all rights reserved; rights reserved
-proprietary; unauthorized (copying|use|reproduction|distribution)( or distribution)? of this; unauthorized
-proprietary; proprietary and confidential; proprietary
-non-commercial; (for )?non ?commercial use only; commercial
-no-warranty; without warranty of any kind; warranty
-no-warranty; provided by the copyright holders and contributors as is; copyright
-copyright; copyright( c)? (19|20)[0-9]{2}( (19|20)[0-9]{2})*; copyright
+mit; permission is hereby granted free of charge to any person obtaining a copy of this software
+mit; the above copyright notice and this permission notice shall be included in all copies
+mit; licensed (under|with) (the )?mit( licen[cs]e)?
+isc; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+apache-2; licensed under the apache license version 2( 0)?( the license)?
+apache-2; you may not use this file except in compliance with the license
+bsd-2-clause; redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause; neither the name of( the)? [^ ]+( [^ ]+){0,6} nor the names of its contributors
+bsd-4-clause; all advertising materials mentioning features or use of this software must display
+gpl-2; either version 2 of the license or (at your option )?any later version
+gpl-3; either version 3 of the license or (at your option )?any later version
+gpl; this program is free software you can redistribute it and or modify it
+gpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(gpl|general public license)
+lgpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(lgpl|lesser general public license)
+agpl; (released|distributed|licensed|available) under (the )?(terms of the )?(gnu )?(agpl|affero general public license)
+mpl-2; this source code form is subject to the terms of the mozilla public license
+epl-2; this program and the accompanying materials are made available under the terms of the eclipse public license
+bsl-1; permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+zlib; altered source versions must be plainly marked as such
+unlicense; this is free and unencumbered software released into the public domain
+cc-by; this work is licensed under (a|the) creative commons attribution( [1-4] [05])?( international)? license
+cc; (this work is )?licensed under (a|the) creative commons
+public-domain; (released|dedicated|placed) (in|into|to) the public domain
+public-domain; this (work|file|text|code) is in the public domain
+ofl-1.1; this font software is licensed under the sil open font license
+proprietary; all rights reserved
+proprietary; unauthorized (copying|use|reproduction|distribution)( or distribution)? of this
+proprietary; proprietary and confidential
+non-commercial; (for )?non ?commercial use only
+no-warranty; without warranty of any kind
+no-warranty; provided by the copyright holders and contributors as is
+copyright; copyright( c)? (19|20)[0-9]{2}( (19|20)[0-9]{2})*
 """
 #: How a name stands in a text: pattern around it, priority, confidence.
 FRAMES = (
@@ -147,21 +150,52 @@ FRAMES = (
 SPDX = (r"spdx license identifier {name}", 100, 1.0)
 
 
+def _gates(parsed) -> list[frozenset[bytes]]:
+    """Sets of strings of a parsed expression: a match has one of each set. Sets with strings of one byte are left out."""
+    out, run = [], bytearray()
+    for kind, value in [*parsed, (None, None)]:
+        if kind is C.LITERAL:
+            run.append(value)
+            continue
+        if len(run) > 1:
+            out.append(frozenset([bytes(run)]))
+        run = bytearray()
+        if kind is C.SUBPATTERN:
+            out += _gates(value[3])
+        elif kind is C.MAX_REPEAT and value[0] > 0:
+            out += _gates(value[2])
+        elif kind is C.BRANCH:
+            each = [max(_gates(x), key=lambda g: min(map(len, g)), default=None) for x in value[1]]
+            if None not in each:
+                out.append(frozenset().union(*each))
+    return out
+
+
+def gates(pattern: bytes) -> tuple[frozenset[bytes], ...]:
+    """The gates of an expression, those that many rules share first."""
+    own = list(dict.fromkeys(_gates(_parser.parse(pattern))))
+    shared = [frozenset([s]) for s in STEMS if any(all(s in x for x in g) for g in own)]
+    return tuple(dict.fromkeys(shared + own))
+
+
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[str, int, float, bytes, re.Pattern]]:
-    """(label, priority, confidence, keyword, expression), in order."""
+def rules() -> list[tuple[str, int, float, tuple[frozenset[bytes], ...], re.Pattern]]:
+    """(label, priority, confidence, gates, expression), in order."""
     out = []
-    whole = lambda x: re.compile(b"(?<![^ ])(?:" + x.encode() + b")(?![^ ])")
+
+    def add(label: str, priority: int, confidence: float, pattern: str) -> None:
+        out.append((label, priority, confidence, gates(pattern.encode()), re.compile(b"(?<![^ ])(?:" + pattern.encode() + b")(?![^ ])")))
+
     for line in filter(None, PHRASES.splitlines()):
-        label, pattern, keyword = line.split("; ")
-        out.append((label, 70 if "license" in pattern or "licensed" in pattern else 40, 0.9 if label not in ("copyright", "proprietary", "no-warranty") else 0.5, keyword.encode(), whole(pattern)))
+        label, pattern = line.split("; ")
+        add(label, 70 if "license" in pattern or "licensed" in pattern else 40, 0.9 if label not in ("copyright", "proprietary", "no-warranty") else 0.5, pattern)
     for line in filter(None, NAMES.splitlines()):
         label, name, identifier = line.split("; ")
-        out.append((label, SPDX[1], SPDX[2], b"spdx", whole(SPDX[0].format(name=identifier))))
+        add(label, SPDX[1], SPDX[2], SPDX[0].format(name=identifier))
         for _, frame, priority, confidence in FRAMES:
-            out.append((label, priority, confidence, b"licen", whole(frame.format(name=f"(?:{name})"))))
+            add(label, priority, confidence, frame.format(name=f"(?:{name})"))
         if label.startswith("cc"):
-            out.append((label, 55, 0.85, b"cc" if "cc" in name else b"creative", whole(name)))
+            add(label, 55, 0.85, name)
     return out
 
 
@@ -193,14 +227,16 @@ def scan(raw: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, s
                 base.append((text.count(b" ", 0, at), label))
             at = text.find(phrase, at + 1)
     finds = []
-    if any(s in text for s in STEMS):
-        there: dict[bytes, bool] = {}
-        for k, (label, priority, confidence, keyword, pattern) in enumerate(rules()):
-            if keyword not in there:
-                there[keyword] = keyword in text
-            if there[keyword]:
-                finds += [(m.start(), m.end(), priority, k, label, confidence) for m in pattern.finditer(text)]
-        finds = [(s, e, label, c) for s, e, _, _, label, c in settle(finds)]
+    there: dict[frozenset[bytes], bool] = {}
+    for k, (label, priority, confidence, needed, pattern) in enumerate(rules()):
+        for gate in needed:
+            if gate not in there:
+                there[gate] = any(x in text for x in gate)
+            if not there[gate]:
+                break
+        else:
+            finds += [(m.start(), m.end(), priority, k, label, confidence) for m in pattern.finditer(text)]
+    finds = [(s, e, label, c) for s, e, _, _, label, c in settle(finds)]
     return len(parts), base, finds
 
 

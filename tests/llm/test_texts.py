@@ -126,6 +126,58 @@ def test_license_rules(text, labels):
     assert labels <= found and (labels or not found)
 
 
+def license_examples(parsed):
+    """Texts that an expression matches, in which each of its alternatives and options stands at least once."""
+    from re import _constants as C
+
+    out = [""]
+    for kind, value in parsed:
+        if kind is C.LITERAL:
+            each = [chr(value)]
+        elif kind is C.IN:
+            each = [chr(v if k is C.LITERAL else v[0]) for k, v in value if k is not C.NEGATE] if value[0][0] is not C.NEGATE else ["x"]
+        elif kind is C.NOT_LITERAL:
+            each = ["x"]
+        elif kind is C.SUBPATTERN:
+            each = license_examples(value[3])
+        elif kind is C.BRANCH:
+            each = [x for part in value[1] for x in license_examples(part)]
+        elif kind is C.MAX_REPEAT:
+            one = license_examples(value[2])
+            each = [x * max(value[0], 1) for x in one] + ([""] if value[0] == 0 else [])
+        else:
+            each = [""]
+        out = [a + each[0] for a in out] + [out[0] + x for x in each[1:]]
+    return out
+
+
+def test_license_gates_leave_nothing_out():
+    from re import _parser
+
+    n = 0
+    for label, _, _, _, own in licenses.rules():
+        for text in map(str.encode, license_examples(_parser.parse(own.pattern))):
+            assert own.search(text), (label, text)
+            every = [(m.start(), m.end(), p, k, x, c) for k, (x, p, c, _, e) in enumerate(licenses.rules()) for m in e.finditer(text)]
+            assert licenses.scan(text)[2] == [(s, e, x, c) for s, e, _, _, x, c in licenses.settle(every)], text
+            n += 1
+    assert n > len(licenses.rules())
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+        ("Released under the MPL 2.0", "mpl-2"),
+        ("under the BSD 3-Clause", "bsd-3-clause"),
+        ("distributed under the AGPL v3", "agpl-3"),
+        ("Altered source versions must be plainly marked as such", "zlib"),
+    ],
+)
+def test_license_names_need_no_stem(text, label):
+    assert label in {f[2] for f in licenses.scan(text.encode())[2]}
+
+
 def test_license_overlaps_are_settled():
     assert len(licenses.rules()) > 200
     finds = [(0, 10, 50, 1, "a", 1.0), (2, 8, 99, 0, "b", 1.0), (0, 10, 60, 2, "c", 1.0), (9, 15, 1, 3, "d", 1.0), (20, 25, 1, 4, "e", 1.0), (20, 25, 1, 5, "f", 1.0)]
