@@ -1,10 +1,14 @@
-"""Cosine similarity of stored vectors by a scan, in the JVM."""
+"""Cosine similarity of stored vectors by a scan: of one query in the JVM, of many in blocks inside tasks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowsmith.operators.ranking import top_per_group
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
@@ -20,3 +24,53 @@ def most_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` rows of ``vectors`` (vec_id, embedding, ...) most like the one row of ``queries`` (query_vector)."""
     scored = vectors.join(F.broadcast(queries.limit(1))).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6))
     return scored.drop("query_vector").orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+#: Queries and vectors in a block.
+QUERIES, VECTORS = 1024, 4096
+
+
+def _best_of_block(k: int):
+    def matrix(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        ids, by_length = table.column("vec_id").to_numpy(), {}
+        for i, v in enumerate(table.column("embedding").to_pylist()):
+            if v and None not in v:
+                by_length.setdefault(len(v), []).append((i, v))
+        out = {}
+        for n, rows in by_length.items():
+            at, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+            norm = np.sqrt((m * m).sum(axis=1))
+            usable = np.isfinite(norm) & (norm > 0)
+            out[n] = ids[at[usable]], m[usable] / norm[usable, None]
+        return out
+
+    def task(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        queries, vectors = (matrix(table.filter(pa.array(side == x))) for x in (0, 1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for n in set(queries) & set(vectors):
+            (own, q), (ids, v) = queries[n], vectors[n]
+            order = np.argsort(ids, kind="stable")
+            similarity = np.round(q @ v[order].T, 6)
+            # Stable, so that equal ones stand by vec_id.
+            best = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+            found.append((np.repeat(own, best.shape[1]), ids[order][best].reshape(-1), np.take_along_axis(similarity, best, axis=1).reshape(-1)))
+        return pa.table(dict(zip(("query_id", "vec_id", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return task
+
+
+def most_similar_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity, rn) of the ``k`` of ``vectors`` most like each of ``queries``; both (vec_id, embedding).
+
+    Ids are unique. A block of queries meets a block of vectors in a task, which returns the ``k`` best for each query.
+    Vectors that are null, zero, not finite or of another length are no neighbours.
+    """
+    parts = [max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (vectors, VECTORS))]
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    left = queries.select(*row, F.lit(0).alias("side"), own(parts[0]).alias("i"), each(parts[1]).alias("j"))
+    right = vectors.select(*row, F.lit(1).alias("side"), each(parts[0]).alias("i"), own(parts[1]).alias("j"))
+    scored = left.union(right).groupBy("i", "j").applyInArrow(_best_of_block(k), "query_id long, vec_id long, similarity double")
+    return top_per_group(scored, ["query_id"], [F.desc("similarity"), "vec_id"], k)

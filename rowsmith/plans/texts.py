@@ -258,6 +258,31 @@ def cosine_group(t: Tables):
     return similarity.most_similar(t.embeddings, query, 20).groupBy("label").agg(F.count("*").alias("n"), F.max("similarity").alias("best"), members.alias("members"))
 
 
+_EACH = """
+WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20)"""
+
+
+def _each_of_50(t: Tables):
+    found = similarity.most_similar_each(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), 20)
+    return found.join(t.embeddings.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
+
+
+@book.add(f"{_EACH} SELECT query_id, vec_id, label, similarity FROM k")
+def cosine_topk_each(t: Tables):
+    """The vectors most like each one whose id is divisible by 50."""
+    return _each_of_50(t)
+
+
+@book.add(f"{_EACH} SELECT query_id, label, count(*) AS n, max(similarity) AS best, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM k GROUP BY 1, 2")
+def cosine_group_each(t: Tables):
+    """The best vectors of each query by label."""
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda v: v.cast("string")), ",")
+    return _each_of_50(t).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.max("similarity").alias("best"), members.alias("members"))
+
+
 @book.add("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.absent') AS absent FROM events")
 def json_props(t: Tables):
     """Fields of JSON text."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.operators import dedupe, merge, ranking, reshape, rules
+from rowsmith.operators import dedupe, merge, ranking, reshape, rules, similarity
 from rowsmith.sources import project, readers
 from rowsmith.streaming import resume
 
@@ -133,3 +133,15 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     seen = []
     resume.upsert_stream(spark, src, schema, str(tmp_path / "mark2"), lambda b: seen.append(b.count()))
     assert sum(seen) == 8
+
+
+def test_each_query_has_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERIES", 2)
+    monkeypatch.setattr(similarity, "VECTORS", 3)
+    vectors = [(i, [float(i % 7), float(i % 5 + 1), 1.0]) for i in range(20)]
+    df = frame(spark, "vec_id long, embedding array<float>", *vectors, (50, [0.0, 0.0, 0.0]), (51, None), (52, [1.0]))
+    got = [r[:3] for r in rows(similarity.most_similar_each(df, df.filter("vec_id % 4 = 0"), 3).select("query_id", "rn", "vec_id"))]
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6)
+    want = [(q, n + 1, i) for q, a in vectors if q % 4 == 0 for n, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in vectors)[:3])]
+    assert got == sorted([*want, (52, 1, 52)], key=str)
