@@ -149,15 +149,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[n
     return hashes, np.diff(np.searchsorted(start, bounds))
 
 
-def arrow_rows(fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Callable:
-    """A mapInArrow function from one that maps a batch to batches."""
+# --- rows of documents ------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
 
-    return run
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a document's id and text; null differs from empty."""
+    id_ = F.coalesce(doc_id.cast("long").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(id_, F.when(text.isNull(), "/").otherwise(F.concat(F.lit("="), text.cast("string"))))))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(key, row): each row's key and all its columns as one struct, so that no name of theirs clashes with another."""
+    return docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 # --- groups of linked rows -------------------------------------------------------------------------

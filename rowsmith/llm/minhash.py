@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import ALNUM, U64, linked, mix, slices, text_bytes, words_of, written
+from rowsmith.llm.common import ALNUM, U64, linked, mix, row_key, slices, text_bytes, whole_rows, words_of, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 
@@ -98,7 +98,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j - i, *weighted(*shingles(words, n), j - i), keys
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sign_task(bands: int, width: int):
@@ -195,8 +195,8 @@ def linked_block(threshold: float):
 def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataFrame:
     """(doc_id, row_key, component_id, kept_key, group_size) of each row; null where a text has no words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("row_key", row_key())
-    signed = written(docs.select("doc_id", "row_key", "text").mapInArrow(sign_task(bands, width), "doc_id long, row_key long, node binary, bands array<long>"), "signed")
+    docs = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    signed = written(docs.select("doc_id", "row_key", "text").mapInArrow(sign_task(bands, width), "doc_id long, row_key binary, node binary, bands array<long>"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     classes = signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("n"))
     classes = written(classes, "classes")
@@ -222,10 +222,6 @@ def labelled(docs: DataFrame, threshold: float, bands: int, width: int) -> DataF
     return signed.select("doc_id", "row_key", "node").join(labels, "node", "left").drop("node")
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
     """A row for each row of ``docs``: its group, the size of the group, and whether it is the one that stays.
 
@@ -246,13 +242,15 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, wi
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, width: int = ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``groups`` keeps, with all their columns; of rows repeated whole, one stays."""
+    """The rows of ``docs`` that ``groups`` keeps, with all their columns; of rows repeated whole, one stays.
+
+    Texts that are null or have no words stay, repeated or not. Columns may have any names. Of an empty table none.
+    """
     rows = written(labelled(docs, threshold, bands, width).filter("kept_key is not null").select("row_key", "kept_key"), "row-labels")
-    gone = rows.filter("row_key <> kept_key").select("row_key").distinct()
-    again = written(rows.filter("row_key = kept_key").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "repeated")
-    keyed = docs.withColumn("__row_key", row_key())
-    stay = keyed.join(gone, F.col("__row_key") == gone.row_key, "left_anti")
+    gone = rows.filter("row_key <> kept_key").select(F.col("row_key").alias("key")).distinct()
+    again = written(rows.filter("row_key = kept_key").groupBy(F.col("row_key").alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
+    stay = whole_rows(docs).join(gone, "key", "left_anti")
     if not again.isEmpty():
-        whole = stay.join(again, F.col("__row_key") == again.row_key, "left_semi").dropDuplicates(["__row_key"])
-        stay = stay.join(again, F.col("__row_key") == again.row_key, "left_anti").union(whole)
-    return stay.drop("__row_key")
+        whole = stay.join(again, "key", "left_semi").dropDuplicates(["key"])
+        stay = stay.join(again, "key", "left_anti").union(whole)
+    return stay.select("row.*")
