@@ -202,8 +202,8 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     ``members`` has (bucket, node) without repeats. ``prepare`` gives a row (node, ...) of what verifying needs for each
     node that has company. First a bucket's nodes are compared with its leader, the node with most company: ``verify``
     keeps those of the pairs (a, b) that are linked. Nodes linked with the same node are one group. What then lies
-    outside its bucket's main group is attached to that group, and all that is attached is compared with the
-    whole group and with one another, in blocks: ``verify_block`` yields linked rows of two tables of facts, and of
+    outside its bucket's main group is attached to that group, and all that is attached is compared with one another and
+    with what such buckets hold of the group, in blocks: ``verify_block`` yields linked rows of two tables of facts, and of
     these only as many are returned as connect the block. So all pairs of a bucket are compared or known to be
     connected, no pair is a row but those with a leader, and a block is all that a task holds.
     """
@@ -221,17 +221,19 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     best = written(best, name)
     state = shared.join(best, "node", "left").select("bucket", "node", F.greatest(F.struct("degree", "node"), "best")["node"].alias("label"))
     state = written(state, name)
-    main = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"))
-    main = written(main.select("bucket", F.col("m.label").alias("main")), name)
-    apart = written(state.join(main, "bucket").filter("label <> main").select(F.col("main").alias("cluster"), "node").distinct(), name)
+    main = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+    # A bucket of two has been compared, and one with a single label is connected.
+    main = written(main.filter("n > 2 and labels > 1").select("bucket", F.col("m.label").alias("main")), name)
+    state = written(state.join(main, "bucket").select(F.col("main").alias("cluster"), "node", (F.col("label") != F.col("main")).alias("apart")).distinct(), name)
+    apart = state.filter("apart").select("cluster", "node")
     if not apart.isEmpty():
         links = links.union(written(_linked_in_blocks(apart, state, facts, verify_block, name, block), name))
     return components(links, name)
 
 
 def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int) -> DataFrame:
-    """Links of the attached nodes (cluster, node) with one another and with the nodes that have the cluster as label."""
-    whole = written(state.select(F.col("label").alias("cluster"), "node").union(apart).distinct(), name)
+    """Links of the attached nodes (cluster, node) with one another and with the others of ``state``."""
+    whole = state.select("cluster", "node").distinct()
     blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
     sizes = written(blocks(apart, "left_n").join(blocks(whole, "right_n"), "cluster"), name)
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
