@@ -183,3 +183,99 @@ def embedded_phone(email: Column) -> Column:
     p = r"(\d{3})[.\-]?(\d{3})[.\-]?(\d{4})"
     part = [F.regexp_extract(email, p, k) for k in (1, 2, 3)]
     return F.when(part[0] != "", F.format_string("(%s) %s-%s", *part))
+
+
+# Repairs of the splitting step, in order, case ignored.
+SPLIT_REPAIRS = (
+    (r"^%20+", ""),
+    (r"%20", ""),
+    (r"@([a-zA-Z0-9\-\.]+\.[a-z]{2,})([a-z]{4,}.*?)$", "@$1"),
+    (r"@(.+?)\.(huhorizon)$", "@$1.hu"),
+    (r"@(.+?)\.(chder)$", "@$1.ch"),
+    (r"@(.+?)\.(ukregistered)$", "@$1.uk"),
+    (r"@(.+?)\.(nliban)$", "@$1.nl"),
+    (r"@(.+?)\.(chhorizon)$", "@$1.ch"),
+    (r"@(.+?)\.(dehorizon)$", "@$1.de"),
+    (r"@remove-this\.", "@"),
+    (r"@remove\.", "@"),
+    (r"\(\d{3}\)\s*\d{3}-\d{4}", ""),
+    (r"\d{3}-\d{3}-\d{4}", ""),
+    (r"\d{3}-\d{4}", ""),
+)
+# Repairs before a second validation, in order, case matters.
+REVALIDATION_REPAIRS = (
+    (r"@(.+?)\.(huhorizon)$", "@$1.hu"),
+    (r"@(.+?)\.(chder)$", "@$1.ch"),
+    (r"@(.+?)\.(ukregistered)$", "@$1.uk"),
+    (r"@(.+?)\.(nliban)$", "@$1.nl"),
+    (r"@(.+?)\.(chhorizon)$", "@$1.ch"),
+    (r"@(.+?)\.(dehorizon)$", "@$1.de"),
+    (r"@remove-this\.", "@"),
+    (r"@remove\.", "@"),
+)
+# Parts of addresses that the scraper drops.
+FAKE = ("example.com", "domain.com", "yoursite.com", "test.com", "filler@godaddy", "noreply@", "no-reply@", "donotreply@", "webmaster@", "postmaster@", "mailer-daemon@", "privacy@", "abuse@", "hostmaster@")
+# Endings of two labels, then of one, and signs of spam, in the order in which they are tried.
+COMPOUND_ENDINGS = ("co.uk", "com.au", "co.za", "co.nz", "com.br", "co.in", "com.mx", "co.jp", "com.cn", "co.kr", "com.ar", "co.il")
+SINGLE_ENDINGS = ("com", "net", "org", "edu", "gov", "mil", "io", "ai", "co", "uk", "ca", "au", "de", "fr", "jp", "cn", "ru", "br", "in", "biz", "info", "me", "tv", "us", "tech", "online", "store", "dev")
+SPAM = (r"^test\d*@", r"^example\d*@", r"@sentry", r"@example\.com", r"bootcamp@", r"advisors\d+")
+# Words in the name of an address that is no person's.
+ROLE_WORDS = ("info", "contact", "admin", "office", "hello", "mail", "support", "manager", "director", "curator", "reception", "sales", "service", "help", "inquiries", "inquiry", "team", "general", "membership", "volunteer", "media", "press", "webmaster", "postmaster")
+
+
+def split_repair(email: Column) -> Column:
+    """The repairs of the splitting step, in lower case; empty unless an at sign and a dot behind it are left."""
+    fixed = reduce(lambda c, r: F.regexp_replace(c, f"(?i){r[0]}", r[1]), SPLIT_REPAIRS, strip(F.coalesce(email, F.lit(""))))
+    fixed = F.lower(strip(fixed))
+    ok = fixed.contains("@") & domain(fixed).contains(".")
+    return F.when(ok, F.regexp_replace(fixed, r"^[.,;: ]+|[.,;: ]+$", "")).otherwise("")
+
+
+def revalidation_repair(email: Column) -> Column:
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), REVALIDATION_REPAIRS, strip(email))
+
+
+def scraped(email: Column) -> Column:
+    """``.co`` at the end completed to ``.com``; null for a fake, without a dot behind the at sign, or not 5 to 100 long."""
+    low = F.lower(strip(email))
+    low = F.when(low.endswith(".co"), F.concat(low, F.lit("m"))).otherwise(low)
+    fake = reduce(lambda a, w: a | low.contains(w), FAKE, F.lit(False))
+    return F.when(~fake & low.contains("@") & domain(low).contains(".") & F.length(low).between(5, 100), low)
+
+
+def by_ending(text: Column) -> Column:
+    """Addresses of a text, each cut behind the first ending of two labels that it has, else of one; sorted and distinct."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), F.lower)
+
+    def cut(e: Column) -> Column:
+        name, host = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+        out = F.lit(None).cast("string")
+        for ending in reversed((*COMPOUND_ENDINGS, *SINGLE_ENDINGS)):
+            at = F.instr(host, f".{ending}")
+            out = F.when(at > 1, F.concat(name, F.lit("@"), F.substr(host, F.lit(1), at + len(ending)))).otherwise(out)
+        return out
+
+    kept = F.filter(found, lambda e: ~e.rlike("|".join(SPAM)))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(kept, cut))))
+
+
+def suspicions(email: Column) -> Column:
+    """Codes of what is odd in an address: digits of a phone, digits in front, text glued to an ending, an unknown ending."""
+    host = domain(email)
+    glued = host.rlike(r"\.(?:" + "|".join(LONGEST_FIRST) + ")[a-z]+")
+    codes = F.array(
+        F.when(email.rlike(r"\d{6,}"), "has_phone"),
+        F.when(email.rlike(r"^[\d\-]+[a-z]"), "starts_with_digits"),
+        F.when(glued, "concatenated_domain"),
+        F.when(~F.substring_index(host, ".", -1).isin(TLDS), "invalid_tld"),
+    )
+    return F.when(email.isNull() | ~email.contains("@"), F.array(F.lit("invalid_format"))).otherwise(F.array_compact(codes))
+
+
+def first_name(email: Column) -> Column:
+    """A name guessed from the part before the at sign: null for a role; before a dot or underscore 2 to 12 letters, digits left out, else one word of 3 to 10 letters."""
+    name = F.lower(local_part(email))
+    part = lambda sep: F.regexp_replace(F.substring_index(name, sep, 1), r"\d+", "")
+    role = reduce(lambda a, w: a | name.contains(w), ROLE_WORDS, F.lit(False))
+    guess = F.when(name.contains(".") & part(".").rlike("^[a-z]{2,12}$"), part(".")).when(name.contains("_") & part("_").rlike("^[a-z]{2,12}$"), part("_")).when(name.rlike("^[a-z]{3,10}$"), name)
+    return F.when(~role, F.initcap(guess))

@@ -134,3 +134,75 @@ def fenced_json(text: Column) -> Column:
     """Key to value of the object in a fenced JSON block, else of the whole text; null where neither is an object."""
     block = F.nullif(F.regexp_extract(text, r"(?s)```json\s*\n(.*?)\n```", 1), F.lit(""))
     return F.from_json(F.coalesce(block, text), "map<string,string>")
+
+
+# Roles that stand beside a name.
+ROLE = "CEO|CTO|CMO|VP|Director|Manager|Founder"
+# Fields of a written answer and where they stand.
+ANSWER_FIELDS = {
+    "dreamICP": r"I'm around (.*?) daily",
+    "painTheySolve": r"they keep saying they (.*?)(?:\.|$)",
+    "clean_company_name": r"Noticed (.*?) helps",
+    "job_titles": r"helps (.*?) at",
+    "company_type": r"at (.*?) —",
+    "pain_description": r"I know a few who (.*?)(?:\.|$)",
+}
+DREAM_OTHERWISE = r"I talk to a lot of (.*?) and they"
+
+
+def main_content(html: Column) -> Column:
+    """Plain text of the first of main, article and body that a page has, else of the whole."""
+    inner = lambda tag: F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
+    return to_text(F.coalesce(inner("main"), inner("article"), inner("body"), html))
+
+
+def recommended(accessible: Column, quality: Column, risk: Column, protected: Column) -> Column:
+    """(method, confidence) of reading a site, from whether it answers, its content, and how far scripts build it."""
+    d = lambda x: F.lit(x).cast("double")
+    raw = d(0.5) + F.when(quality == "high", d(0.3)).when(quality == "medium", d(0.1)).otherwise(d(-0.2)) + F.when(risk >= 50, d(-0.4)).when(risk >= 25, d(-0.2)).otherwise(d(0.2))
+    clamped = F.greatest(d(0.1), F.least(d(0.95), raw))
+    confidence = F.when(~accessible, d(0.9)).when(protected, d(0.95)).otherwise(F.round(clamped, 4))
+    method = F.when(~accessible | protected, "apify").when(F.round(clamped, 4) >= 0.4, "http").otherwise("apify")
+    return F.struct(method.alias("method"), confidence.alias("confidence"))
+
+
+def contacts(text: Column) -> Column:
+    """(name, role) of the first three of each order, role before name and name before role."""
+    name = r"[A-Z][a-z]+\s+[A-Z][a-z]+"
+    each = lambda p, a, b: F.arrays_zip(F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(a)), 1, 3).alias("name"), F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(b)), 1, 3).alias("role"))
+    return F.concat(each(rf"({ROLE})\s+({name})", 2, 1), each(rf"({name}),?\s+({ROLE})", 1, 2))
+
+
+def answer_fields(text: Column) -> Column:
+    """Field to what stands in its place, for those that are there."""
+    value = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
+    found = {k: value(p) for k, p in ANSWER_FIELDS.items()}
+    found["dreamICP"] = F.coalesce(found["dreamICP"], value(DREAM_OTHERWISE))
+    return F.map_filter(F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+
+
+def failure(message: Column) -> Column:
+    """Why a page gave nothing, from its error message."""
+    m, low = F.coalesce(message, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
+    return (
+        F.when(m.contains("no_email_found_static"), "no_email_found_static")
+        .when(m.contains("no_email_found_dynamic"), "no_email_found_dynamic")
+        .when(low.contains("timeout"), "connection_timeout")
+        .when(m.contains("404") | low.contains("not found"), "page_not_found")
+        .when(m != "", m)
+        .otherwise("unknown_error")
+    )
+
+
+def plain_words(text: Column) -> Column:
+    """Words of two characters or more that are neither up to three digits nor one character repeated, one space between."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>|https?://\S+|\S+@\S+", " "), r"[^\p{L}\p{N}\s.,!?'-]", " ")
+    words = F.filter(F.split(collapse(bare), " "), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d{1,3}$") & (F.replace(w, F.substring(w, 1, 1), F.lit("")) != ""))
+    return F.array_join(words, " ")
+
+
+def dense_words(text: Column, longest: int = 20) -> Column:
+    """``plain_words`` without code, hashes and words of over ``longest`` characters, and without a word right behind itself."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\{[^{}]*\}|\b[0-9a-f]{16,}\b|function\s*\([^)]*\)", " ")
+    words = F.filter(F.split(plain_words(bare), " "), lambda w: F.length(w) <= longest)
+    return F.array_join(F.filter(words, lambda w, i: (i == 0) | (w != F.coalesce(F.get(words, i - 1), F.lit("")))), " ")

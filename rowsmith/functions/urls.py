@@ -95,3 +95,131 @@ def sitemap_locations(xml: Column) -> Column:
 def robots_sitemaps(text: Column) -> Column:
     found = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"(?i)^\s*sitemap:"))
     return F.transform(found, lambda line: strip(F.regexp_replace(line, r"(?i)^\s*sitemap:", "")))
+
+
+# Words of a path that speak for a page and against it, and those of main pages.
+GOOD_PATHS = ("about", "services", "solutions", "products", "team", "company", "case-studies", "portfolio", "work", "projects", "contact")
+BAD_PATHS = ("privacy", "terms", "legal", "login", "account", "cart", "checkout", "api", "docs", "support", "help", "blog", "news", "careers", "jobs", "employment", "author", "category", "tag")
+MAIN_PATHS = ("services", "solutions", "about", "contact")
+# Groups of words of a path, the most telling first.
+PAGE_GROUPS = (
+    ("about-us", "about_us", "aboutus", "about"),
+    ("about-me", "about_me", "aboutme"),
+    ("approach", "methodology", "process"),
+    ("our-story", "our_story", "story"),
+    ("team", "leadership", "founders"),
+    ("company", "company-info"),
+    ("services", "what-we-do"),
+    ("mission", "values", "culture"),
+    ("careers", "jobs", "work-with-us"),
+)
+FINE_GROUPS = (
+    ("about-us", "about_us", "aboutus"),
+    ("about-me", "about_me", "aboutme"),
+    ("about-company", "about-the-company", "company-info"),
+    ("about",),
+    ("our-story", "our_story", "story"),
+    ("team",),
+    ("leadership",),
+    ("founders",),
+    ("company",),
+    ("mission",),
+    ("values",),
+    ("history",),
+    ("who-we-are", "who_we_are"),
+    ("home", "homepage"),
+    ("services",),
+    ("what-we-do", "what_we_do"),
+)
+# Files and paths that are no pages, and states by what a city ends in.
+ASSETS = (".css", ".js", ".png", ".jpg", ".gif", ".ico", ".svg", ".pdf", ".xml")
+SERVICE_PATHS = ("wp-json", "xmlrpc", "platform-api")
+SKIPPED_FILES = (".pdf", ".doc", ".docx", ".zip", ".exe", ".jpg", ".png", ".gif")
+STATES = {", TX": "texas", ", FL": "florida", ", NY": "new_york", ", IL": "illinois", ", MI": "michigan", ", PA": "pennsylvania"}
+AU_PHONE = r"\b(?:\+?61|0)[2-478](?:[ -]?[0-9]){8}\b"
+
+
+def _has(text: Column, words) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def path(url: Column) -> Column:
+    """The path in lower case, empty for none."""
+    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
+
+
+def page_value(url: Column) -> Column:
+    """Points of a page by its path: good and bad words, main pages, and how deep it lies."""
+    p = path(url)
+    depth = F.size(F.filter(F.split(p, "/"), lambda x: x != ""))
+    score = sum((F.when(p.contains(w), 10).otherwise(0) for w in GOOD_PATHS), F.lit(0)) - sum((F.when(p.contains(w), 20).otherwise(0) for w in BAD_PATHS), F.lit(0))
+    score = score + F.when(depth == 1, 5).when(depth == 2, 2).when(depth > 3, -3).otherwise(0)
+    return score + F.when(_has(p, MAIN_PATHS), 5).otherwise(0)
+
+
+def page_group(url: Column, groups=PAGE_GROUPS) -> Column:
+    """Number of the first group of words that the path has; null without any."""
+    p, out = path(url), F.lit(None).cast("int")
+    for k, words in reversed(list(enumerate(groups))):
+        out = F.when(_has(p, words), k).otherwise(out)
+    return out
+
+
+def internal(link: Column, base_url: Column) -> Column:
+    """A link of a page of ``base_url`` as a whole URL of that site with ``www.``, without query and fragment; null for others."""
+    base, low = domain(base_url), F.lower(link)
+    home = F.concat(F.lit("https://"), base)
+    whole = (
+        F.when(low.rlike("^(#|mailto:|tel:|javascript:|data:|ftp:)"), None)
+        .when(low.rlike("^https?://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("https:"), link))
+        .when(link.startswith("/"), F.concat(home, link))
+        .when(link.rlike(r"[?#]|javascript") | ~link.rlike(r"[./]"), None)
+        .otherwise(F.concat(home, F.lit("/"), link))
+    )
+    bare = F.regexp_replace(F.regexp_replace(whole, r"[?#].*$", ""), "/+$", "")
+    ours = F.contains(F.lower(whole), base) & ~_has(F.lower(bare), (*ASSETS, *SERVICE_PATHS))
+    www = F.when(bare.contains("//www."), bare).otherwise(F.replace(bare, F.concat(F.lit("://"), base), F.concat(F.lit("://www."), base)))
+    return F.when(ours, www)
+
+
+def crawlable(link: Column, base_url: Column) -> Column:
+    """Whether a URL is of the same host, no file of a kind that is skipped, and of a scheme for pages."""
+    low = F.lower(link)
+    return F.coalesce((host(link) == host(base_url)) & link.rlike("(?i)^https?://") & ~low.rlike("(" + "|".join(e.replace(".", r"\.") for e in SKIPPED_FILES) + ")$"), F.lit(False))
+
+
+def short_place(address: Column) -> Column:
+    """City and state of an address of three parts or more, else its first 30 characters."""
+    parts = F.split(address, ",")
+    state = F.regexp_extract(F.trim(F.element_at(parts, -2)), r"^(\S*)", 1)
+    return F.when(F.size(parts) >= 3, F.concat(F.trim(F.element_at(parts, -3)), F.lit(", "), state)).otherwise(F.substring(address, 1, 30))
+
+
+def state(place: Column) -> Column:
+    out = F.lit("unknown")
+    for mark, name in reversed(STATES.items()):
+        out = F.when(place.contains(mark), name).otherwise(out)
+    return out
+
+
+def country(address: Column) -> Column:
+    """The last part of an address of two parts or more."""
+    return F.nullif(F.trim(F.regexp_extract(address, r",([^,]*)$", 1)), F.lit(""))
+
+
+def stamped(url: Column, seconds: Column) -> Column:
+    """With a parameter that says where to begin."""
+    return F.concat(url, F.when(url.contains("?"), "&t=").otherwise("?t="), seconds.cast("string"), F.lit("s"))
+
+
+def own_website(text: Column, name: Column, excluded=SOCIAL) -> Column:
+    """The first host in a text with a longer word of the name, else the first; no network and no directory."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"https?://(?:www\.)?([a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+)"), F.lit(1)), F.lower)
+    found = F.filter(found, lambda d: ~_has(d, excluded))
+    words = F.filter(F.split(F.replace(F.lower(name), F.lit("&"), F.lit("")), r"\s+"), lambda w: F.length(w) > 3)
+    named = F.filter(found, lambda d: ~_has(d, ("directory", "listing", "review", "find")) & F.exists(words, lambda w: d.contains(w)))
+    return F.concat(F.lit("https://"), F.coalesce(F.get(named, F.lit(0)), F.get(found, F.lit(0))))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rowsmith.plans import merges, projections, reports, texts
+from rowsmith.plans import contacts, merges, projections, reports, texts
 from rowsmith.plans.tables import Query
 
-BOOKS = (reports.book, merges.book, texts.book, projections.book)
+BOOKS = (reports.book, merges.book, texts.book, projections.book, contacts.book)
 
 
 def queries() -> dict[str, Query]:
