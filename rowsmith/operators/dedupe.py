@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowsmith.sources.shared import written
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], drop_null_keys: bool = False) -> DataFrame:
     """The row of each key that comes first by ``order_by``; nulls are last. Null keys are one group unless dropped.
@@ -54,6 +56,25 @@ def in_sequence(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) ->
     return df
 
 
+def in_order(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """Rows kept by one pass in the order of ``row_id`` (unique): a row goes if an earlier kept row has one of its keys.
+
+    A row that goes registers none of its keys; null keys are no keys. Done in rounds over (key, row) memberships: a row
+    that comes first for all of its keys stays, and all that share a key with it go. What is left has only such rows
+    before it as are undecided too, so that the rounds give what the pass gives.
+    """
+    pairs = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}/"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
+    open_ = written(df.select(F.col(row_id).alias("r"), F.explode(pairs).alias("k")), "memberships")
+    stay = df.filter(F.size(pairs) == 0).select(F.col(row_id).alias("r"))
+    while not open_.isEmpty():
+        first = open_.groupBy("k").agg(F.min("r").alias("m"))
+        kept = written(open_.join(first, "k").groupBy("r").agg(F.min(F.col("r") == F.col("m")).alias("keep")).filter("keep").select("r"), "kept")
+        taken = open_.join(kept, "r", "left_semi").select("k").distinct()
+        gone = open_.join(taken, "k", "left_semi").select("r").distinct()
+        open_, stay = written(open_.join(gone, "r", "left_anti"), "memberships"), stay.union(kept)
+    return df.join(stay, F.col(row_id) == F.col("r"), "left_semi")
+
+
 def profile(df: DataFrame, column: str) -> DataFrame:
     """Rows, distinct values, surplus rows and empty rows of a column."""
     c = F.col(column)

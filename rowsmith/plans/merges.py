@@ -9,13 +9,13 @@ from rowsmith.plans.tables import Book, Tables
 
 book = Book()
 
-PATCH = "(SELECT c_custkey, nullif(round(c_acctbal * 2, 2), 0) AS c_acctbal, 'patched' AS note FROM customer WHERE c_custkey % 3 = 0)"
+PATCH = "(SELECT c_custkey * 2 AS c_custkey, nullif(round(c_acctbal * 2, 2), 0) AS c_acctbal, 'patched' AS note FROM customer)"
 BASE = "(SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer)"
 
 
 def _patch(t: Tables):
     base = t.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"))
-    patch = t.customer.filter("c_custkey % 3 = 0").select("c_custkey", F.round(F.col("c_acctbal") * 2, 2).alias("c_acctbal"), F.lit("patched").alias("note"))
+    patch = t.customer.select((F.col("c_custkey") * 2).alias("c_custkey"), F.nullif(F.round(F.col("c_acctbal") * 2, 2), F.lit(0.0).cast("double")).alias("c_acctbal"), F.lit("patched").alias("note"))
     return base, patch
 
 
@@ -42,11 +42,12 @@ def nway_outer_merge(t: Tables):
 
 
 def _sides(t: Tables):
-    return t.customer.filter("c_custkey % 4 <> 0").select("c_custkey", "c_name"), t.orders.filter("o_orderkey % 7 < 3").select("o_orderkey", "o_custkey", "o_totalprice")
+    # Shifted, so that rows of both sides have no match.
+    return t.customer.select("c_custkey", "c_name"), t.orders.select("o_orderkey", (F.col("o_custkey") + 7).alias("o_custkey"), "o_totalprice")
 
 
 def _merge_sql(how: str) -> str:
-    return f"""SELECT c_custkey, c_name, o_orderkey, o_custkey, o_totalprice FROM (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c {how} JOIN (SELECT * FROM orders WHERE o_orderkey % 7 < 3) o ON c_custkey = o_custkey"""
+    return f"""SELECT c_custkey, c_name, o_orderkey, o_custkey, o_totalprice FROM customer c {how} JOIN (SELECT o_orderkey, o_custkey + 7 AS o_custkey, o_totalprice FROM orders) o ON c_custkey = o_custkey"""
 
 
 @book.add(_merge_sql("LEFT"))
@@ -76,7 +77,7 @@ def merge_outer(t: Tables):
 @book.add("""
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'known' END, n_name) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def lookup_backfill(t: Tables):
-    """Missing values from two lookups in a row."""
+    """Missing values from two lookups in a row."""
     o = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "known").alias("place"))
     o = merge.lookup(o.withColumn("c_custkey", F.col("o_custkey")), t.customer, "c_custkey", "c_nationkey", "nation")
     named = merge.lookup(o.withColumn("n_nationkey", F.col("nation")), t.nation, "n_nationkey", "n_name", "place")
@@ -84,12 +85,12 @@ def lookup_backfill(t: Tables):
 
 
 @book.add("""
-WITH a AS (SELECT c_custkey, c_name AS label FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey, c_mktsegment || '/' || c_mktsegment AS label FROM customer WHERE c_custkey % 3 = 0)
+WITH a AS (SELECT c_custkey, c_name AS label FROM customer), b AS (SELECT c_custkey + 3 AS c_custkey, c_mktsegment || '/' || c_mktsegment AS label FROM customer)
 SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.label IS NULL OR length(b.label) > length(a.label) THEN coalesce(b.label, a.label) ELSE a.label END AS label FROM a FULL JOIN b ON a.c_custkey = b.c_custkey""")
 def upsert_longer_wins(t: Tables):
-    """Insert or update, the longer text stays."""
-    a = t.customer.filter("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("label"))
-    b = t.customer.filter("c_custkey % 3 = 0").select("c_custkey", F.concat_ws("/", "c_mktsegment", "c_mktsegment").alias("label"))
+    """Insert or update by one key, the longer text stays."""
+    a = t.customer.select("c_custkey", F.col("c_name").alias("label"))
+    b = t.customer.select((F.col("c_custkey") + 3).alias("c_custkey"), F.concat_ws("/", "c_mktsegment", "c_mktsegment").alias("label"))
     return merge.upsert(a, b, "c_custkey", ["label"])
 
 
@@ -98,7 +99,7 @@ SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey
 def not_contacted_recently(t: Tables):
     """Customers without an order in the last 30 days of the data."""
     end = t.orders.agg(F.max("o_orderdate").alias("end"))
-    recent = t.orders.join(F.broadcast(end)).filter("o_orderdate > end - INTERVAL 30 DAYS")
+    recent = t.orders.filter(F.col("o_orderdate") > end.scalar() - F.expr("INTERVAL 30 DAYS"))
     return t.customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -118,8 +119,9 @@ def anti_join(t: Tables):
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'home-' || c_custkey WHEN c_custkey % 5 = 0 THEN 'pages-' || c_custkey WHEN c_custkey % 7 = 0 THEN 'guess-' || c_custkey END AS email,
   CASE WHEN c_custkey % 3 = 0 THEN 'home' WHEN c_custkey % 5 = 0 THEN 'pages' WHEN c_custkey % 7 = 0 THEN 'guess' END AS email_source FROM customer""")
 def waterfall_merge(t: Tables):
-    """The first source that has a value, and which one it was."""
-    sources = [(n, t.customer.filter(f"c_custkey % {k} = 0").select("c_custkey", F.concat(F.lit(f"{n}-"), F.col("c_custkey")).alias("email"))) for n, k in (("home", 3), ("pages", 5), ("guess", 7))]
+    """The first source that has a value, and which one it was."""
+    key = lambda k: F.col("c_custkey") * k
+    sources = [(n, t.customer.select(key(k).alias("c_custkey"), F.concat(F.lit(f"{n}-"), key(k)).alias("email"))) for n, k in (("home", 3), ("pages", 5), ("guess", 7))]
     return merge.waterfall(t.customer.select("c_custkey"), sources, "c_custkey", "email")
 
 
@@ -165,7 +167,7 @@ def dedupe_composite(t: Tables):
 
 @book.add("SELECT text, count(*) AS n_rows, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS langs FROM documents GROUP BY text")
 def dedupe_provenance(t: Tables):
-    """One row for each text with where it came from."""
+    """One row for each text with where it came from."""
     return dedupe.with_provenance(t.documents, "text", {"source": "sources", "lang": "langs"})
 
 
@@ -182,7 +184,7 @@ def first_nonnull_by_priority(t: Tables):
 WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1)
 SELECT o_orderkey, o_custkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS q FROM a) WHERE q = 1""")
 def dedupe_in_sequence(t: Tables):
-    """One key after the other."""
+    """One key after the other."""
     return dedupe.in_sequence(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey", "o_orderdate"], ["o_orderkey"])
 
 
@@ -204,7 +206,7 @@ def topn_per_group(t: Tables):
 @book.add("""
 SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= floor(count(*) OVER (PARTITION BY c_nationkey) / 2) THEN 'first' ELSE 'second' END AS half FROM customer""")
 def halves(t: Tables):
-    """Groups cut in two by place."""
+    """Groups cut in two by place."""
     return ranking.halves(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"]).select("c_custkey", "half")
 
 
@@ -234,7 +236,7 @@ def explode_list(t: Tables):
 WITH s AS (SELECT c_custkey, list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN 'b' || c_custkey END], lambda x: x IS NOT NULL) AS parts FROM customer)
 SELECT c_custkey, CASE len(parts) WHEN 0 THEN 'no_valid_email' WHEN 1 THEN 'single_email' ELSE 'multi_email_split' END AS status, unnest(CASE WHEN len(parts) = 0 THEN [NULL] ELSE parts END) AS part FROM s""")
 def explode_status(t: Tables):
-    """Parts of a cell with what the cell held, empty ones too."""
+    """Parts of a cell with what the cell held, empty ones too."""
     of = lambda k, x: F.when(F.col("c_custkey") % k == 0, F.concat(F.lit(x), F.col("c_custkey")))
     s = t.customer.select("c_custkey", F.array_compact(F.array(of(2, "a"), of(3, "b"))).alias("parts"))
     return s.select("c_custkey", reshape.cell_status(F.col("parts")).alias("status"), F.explode_outer("parts").alias("part"))
@@ -244,7 +246,7 @@ def explode_status(t: Tables):
 SELECT n_nationkey, i, j, round(n_nationkey * 1.0::DOUBLE - 0.5::DOUBLE + i * 0.25::DOUBLE, 6) AS point_lat, round(n_regionkey * 10.0::DOUBLE - 0.5::DOUBLE + j * 0.25::DOUBLE, 6) AS point_lng
 FROM nation, range(5) a(i), range(5) b(j)""")
 def grid_points(t: Tables):
-    """Search points around each place."""
+    """Search points around each place."""
     n = t.nation.select("n_nationkey", (F.col("n_nationkey") * F.lit(1.0).cast("double")).alias("lat"), (F.col("n_regionkey") * F.lit(10.0).cast("double")).alias("lng"))
     g = reshape.grid(n, "lat", "lng", 1.0, 5)
     return g.select("n_nationkey", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "point_lat", "point_lng")

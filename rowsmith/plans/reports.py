@@ -261,6 +261,6 @@ def change_between_days(t: Tables):
 WITH b AS (SELECT c_nationkey, c_custkey, c_acctbal, lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS previous_c_acctbal FROM customer)
 SELECT c_nationkey, c_custkey, coalesce(c_acctbal < previous_c_acctbal * 0.5::DOUBLE, false) AS dropped FROM b""")
 def latest_vs_previous(t: Tables):
-    """Each row against the one before in its group."""
+    """Each row against the one before in its group."""
     b = ranking.with_previous(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", ["c_custkey"], ["c_acctbal"])
     return b.select("c_nationkey", "c_custkey", F.coalesce(F.col("c_acctbal") < F.col("previous_c_acctbal") * F.lit(0.5).cast("double"), F.lit(False)).alias("dropped"))
