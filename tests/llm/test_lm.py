@@ -30,37 +30,44 @@ def discounts(counts):
     return [0, *(min(max(x, 0.01), k) for k, x in enumerate(d[1:], 1))]
 
 
-def brute(rows):
+def brute(rows, order=lm.ORDER):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    pairs = Counter()
+    grams = lambda t: zip(*([*["<s>"] * k, *t][: len(t)] for k in range(order - 1, -1, -1)), strict=True)
+    level, raw = {order: Counter()}, Counter()
     for i, text, *_ in rows:
         if not held(i):
             t = tokens(text)
-            pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
-    count, kinds, total, follow = Counter(), Counter(), Counter(), {}
-    for (u, v), c in pairs.items():
-        count[v] += c
-        kinds[v] += 1
-        total[u] += c
-        follow.setdefault(u, []).append(c)
-    n, k = sum(count.values()), len(count)
-    high, low = discounts(list(pairs.values())), discounts(list(kinds.values()))
-    gamma = sum(low[min(c, 3)] for c in kinds.values()) / len(pairs) if pairs else 1.0
-
-    def p(u, v):
-        single = (kinds[v] - low[min(kinds[v], 3)]) / max(len(pairs), 1) + gamma / (k + 1)
-        if u not in total:
-            return single
-        c = pairs[u, v]
-        return (c - high[min(c, 3)]) / total[u] + sum(high[min(c, 3)] for c in follow[u]) / total[u] * single
+            raw.update(t)
+            level[order].update(grams(t))
+    for k in range(order, 1, -1):
+        level[k - 1] = Counter()
+        for g, c in level[k].items():
+            level[k - 1][g[1:]] += c if k > 2 and g[1] == "<s>" else 1
+    cut = {k: discounts(list(c.values())) for k, c in level.items()}
+    follow = {}
+    for k in range(2, order + 1):
+        for g, c in level[k].items():
+            follow.setdefault(g[:-1], []).append(c)
+    n, kinds, total = sum(raw.values()), len(raw), sum(level[1].values())
+    gamma = sum(cut[1][min(c, 3)] for c in level[1].values()) / total if total else 1.0
+
+    def p(*g):
+        c = level[len(g)][g]
+        if len(g) == 1:
+            return (c - cut[1][min(c, 3)]) / max(total, 1) + gamma / (kinds + 1)
+        own = follow.get(g[:-1])
+        if not own:
+            return p(*g[1:])
+        d = cut[len(g)]
+        return (c - d[min(c, 3)]) / sum(own) + sum(d[min(x, 3)] for x in own) / sum(own) * p(*g[1:])
 
     out = []
     for i, text, *_ in rows:
         t = tokens(text)
-        base = sum(math.log10((count[v] + 1) / (n + k + 1)) for v in t)
-        score = sum(math.log10(p(u, v)) for u, v in zip(["<s>", *t[:-1]], t, strict=True))
-        out.append((i, held(i), len(t), sum(count[v] > 0 for v in t), n, base, score))
-    return out, p, [*count]
+        base = sum(math.log10((raw[v] + 1) / (n + kinds + 1)) for v in t)
+        score = sum(math.log10(p(*g)) for g in grams(t))
+        out.append((i, held(i), len(t), sum(raw[v] > 0 for v in t), n, base, score))
+    return out, p, [*raw]
 
 
 def compare(got, want):
@@ -70,12 +77,14 @@ def compare(got, want):
         assert tuple(a)[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], rel=1e-9)
         assert a[6] == pytest.approx(b[6], rel=1e-9)
+        assert a[7] == pytest.approx(10 ** (-b[6] / b[2]), rel=1e-9)
 
 
-def test_against_brute_force(spark, data):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_against_brute_force(spark, data, order):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    want, *_ = brute(rows)
-    compare(lm.score_held_out(spark.read.parquet(f"{data}/documents.parquet"), 3).collect(), want)
+    want, *_ = brute(rows, order)
+    compare(lm.score_held_out(spark.read.parquet(f"{data}/documents.parquet"), 3, order).collect(), want)
 
 
 def test_edge_cases_and_frequent_pairs(spark):
@@ -86,8 +95,8 @@ def test_edge_cases_and_frequent_pairs(spark):
 def test_probabilities_sum_to_one(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40).collect()]
     _, p, known = brute(rows)
-    for context in ("<s>", known[5], "never seen"):
-        assert sum(p(context, v) for v in known) + p(context, "never seen") == pytest.approx(1)
+    for context in (("<s>", "<s>"), ("<s>", known[0]), (known[5], known[6]), ("never", "seen"), (known[5],)):
+        assert sum(p(*context, v) for v in known) + p(*context, "never seen") == pytest.approx(1)
 
 
 def test_model_beats_base_on_held_out_text(spark):
