@@ -1,7 +1,8 @@
 """Conversations of any known layout as marked text with a loss mask, in DataFrame functions only.
 
 A layout is known by its fingerprint, the SHA-256 of its nested field paths. It selects a declarative mapping to
-canonical turns (role, text). Columns are fingerprinted by the table's schema, a column of JSON by each row's keys.
+canonical turns (role, text). Columns are fingerprinted by the table's schema, a column of JSON by each row's keys; fields
+that a layout does not name do not count for it, and of several layouts the one with most fields is taken.
 Turns are then written as
 
     <|turn|>role<|text|>text<|end|> and a line feed
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: Strings that mean something to this template or to common others; none may stand in a text as it is.
 CONTROL = ("<|turn|>", "<|text|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Names that roles go by in other layouts.
+#: Names that roles go by in the layout that says so; in all others a role is as it stands.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 #: Layouts: their field paths, and their turns. ``rows`` has a row for each turn, ``list`` a list of turns, ``fields`` a
@@ -32,7 +33,7 @@ LAYOUTS = (
     {"paths": ("role", "text", "turn"), "rows": ("turn", "role", "text")},
     {"paths": ("messages[].content", "messages[].role"), "list": ("messages", "role", "content")},
     {"paths": ("messages[].role", "messages[].text"), "list": ("messages", "role", "text")},
-    {"paths": ("conversations[].from", "conversations[].value"), "list": ("conversations", "from", "value")},
+    {"paths": ("conversations[].from", "conversations[].value"), "list": ("conversations", "from", "value"), "roles": ROLES},
     {"paths": ("prompt", "response"), "fields": (("user", ("prompt",)), ("assistant", ("response",)))},
     {"paths": ("completion", "prompt"), "fields": (("user", ("prompt",)), ("assistant", ("completion",)))},
     {"paths": ("prompt", "response", "system"), "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
@@ -46,8 +47,8 @@ def fingerprint(paths) -> str:
     return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(x["paths"]): x for x in LAYOUTS}
-KNOWN = {p for x in LAYOUTS for p in x["paths"]}
+#: Layouts with their fingerprints, those of most fields first.
+BY_FINGERPRINT = {fingerprint(x["paths"]): x for x in sorted(LAYOUTS, key=lambda x: -len(x["paths"]))}
 
 
 def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
@@ -61,9 +62,9 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return out
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(layout: dict, role: Column, text: Column) -> Column:
     role = F.coalesce(role.cast("string"), F.lit(""))
-    named = reduce(lambda c, x: F.when(role == x[0], F.lit(x[1])).otherwise(c), ROLES.items(), role)
+    named = reduce(lambda c, x: F.when(role == x[0], F.lit(x[1])).otherwise(c), layout.get("roles", {}).items(), role)
     return F.struct(named.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
@@ -71,21 +72,26 @@ def _turns(layout: dict, field) -> Column:
     """The list of canonical turns of a layout that has a row for each conversation."""
     if "list" in layout:
         name, role, text = layout["list"]
-        return F.transform(F.coalesce(field(name), F.array()), lambda x: _turn(x[role], x[text]))
+        return F.transform(F.coalesce(field(name), F.array()), lambda x: _turn(layout, x[role], x[text]))
     joined = lambda names: F.array_join(F.filter(F.array(*(F.coalesce(field(n).cast("string"), F.lit("")) for n in names)), lambda x: x != ""), "\n\n")
-    return F.array(*(_turn(F.lit(role), joined(names)) for role, names in layout["fields"]))
+    return F.array(*(_turn(layout, F.lit(role), joined(names)) for role, names in layout["fields"]))
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema has a known layout; columns of other names are left alone."""
-    found = BY_FINGERPRINT.get(fingerprint(p for p in schema_paths(df.schema) if p in KNOWN))
+    """(conv_id, turn, role, text) of a table whose schema has a known layout; other columns are left alone.
+
+    Null roles and texts are empty; a conversation whose list of turns is null or empty has no row, as it has no turn.
+    Repeated rows are turns of their own. A table without any known layout is an error.
+    """
+    paths = schema_paths(df.schema)
+    found = next((x for mark, x in BY_FINGERPRINT.items() if fingerprint(p for p in paths if p in x["paths"]) == mark), None)
     if not found:
-        raise ValueError(f"no layout has the fields {sorted(p for p in schema_paths(df.schema) if p in KNOWN)}")
+        raise ValueError(f"no layout has its fields among {sorted(paths)}")
     key = F.col(conv_id).cast("long").alias("conv_id")
     if "rows" in found:
         turn, role, text = (F.col(c) for c in found["rows"])
-        return df.select(key, turn.cast("long").alias("turn"), _turn(role, text).alias("t")).select("conv_id", "turn", "t.role", "t.text")
-    turns = df.select(key, F.posexplode(_turns(found, F.col)).alias("turn", "t"))
+        return df.select(key, turn.cast("long").alias("turn"), _turn(found, role, text).alias("t")).select("conv_id", "turn", "t.role", "t.text")
+    turns = df.select(key, F.posexplode(_turns(found, lambda c: F.col(f"`{c}`"))).alias("turn", "t"))
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
@@ -96,31 +102,45 @@ def _json_schema(layout: dict) -> T.StructType:
     return T.StructType([T.StructField(p, T.StringType()) for p in layout["paths"]])
 
 
-def canonical_json(df: DataFrame, conv_id: str = "conv_id", payload: str = "payload") -> DataFrame:
-    """As ``canonical_turns`` for a column of JSON objects, each row by its own layout.
-
-    A row that is null, is not an object or has no known layout has no turns.
-    """
+def _read_json(df: DataFrame, conv_id: str, payload: str) -> DataFrame:
+    """(conv_id, payload, turns) of each row; ``turns`` is null where no layout has its fields in the object."""
     lists = sorted({x["list"][0] for x in LAYOUTS if "list" in x})
-    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    text = F.col(f"`{payload}`").cast("string")
+    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
 
     def inner(name: str) -> Column:
-        found = F.coalesce(F.json_object_keys(F.get_json_object(payload, f"$.{name}[0]")), F.array().cast("array<string>"))
+        found = F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{name}[0]")), F.array().cast("array<string>"))
         return F.transform(found, lambda k: F.concat(F.lit(f"{name}[]."), k))
 
-    paths = F.concat(F.filter(keys, lambda k: ~k.isin(lists)), *map(inner, lists))
-    paths = F.filter(F.array_distinct(paths), lambda p: p.isin(sorted(KNOWN)))
-    rows = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(payload).alias("payload"), F.sha2(F.array_join(F.array_sort(paths), ","), 256).alias("fingerprint"))
+    paths = F.array_sort(F.array_distinct(F.concat(F.filter(keys, lambda k: ~k.isin(lists)), *map(inner, lists))))
+    among = lambda names: lambda p: p.isin(*names)
+    rows = df.select(F.col(f"`{conv_id}`").cast("long").alias("conv_id"), text.alias("payload"), paths.alias("paths"))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for mark, layout in BY_FINGERPRINT.items():
+    for mark, layout in reversed(BY_FINGERPRINT.items()):
         if "rows" not in layout:
+            own = F.sha2(F.array_join(F.filter("paths", among(layout["paths"])), ","), 256)
             parsed = F.from_json("payload", _json_schema(layout))
-            turns = F.when(F.col("fingerprint") == mark, _turns(layout, lambda n, parsed=parsed: parsed[n])).otherwise(turns)
-    out = rows.select("conv_id", F.posexplode(turns).alias("turn", "t"))
+            turns = F.when(own == mark, _turns(layout, lambda n, parsed=parsed: parsed[n])).otherwise(turns)
+    return rows.select("conv_id", "payload", turns.alias("turns"))
+
+
+def canonical_json(df: DataFrame, conv_id: str = "conv_id", payload: str = "payload") -> DataFrame:
+    """As ``canonical_turns`` for a column of JSON objects, each row by its own layout.
+
+    A row that is null, is not an object, has no known layout or has no turn is in ``rejected_json`` instead.
+    """
+    out = _read_json(df, conv_id, payload).select("conv_id", F.posexplode("turns").alias("turn", "t"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def rejected_json(df: DataFrame, conv_id: str = "conv_id", payload: str = "payload") -> DataFrame:
+    """(conv_id, payload, reason) of the rows that ``canonical_json`` has no turn of: ``no layout`` or ``no turns``."""
+    rows = _read_json(df, conv_id, payload).filter("turns is null or size(turns) = 0")
+    return rows.select("conv_id", "payload", F.when(F.col("turns").isNull(), "no layout").otherwise("no turns").alias("reason"))
+
+
 def escape(text: Column) -> Column:
+    """Reversibly free of control strings; null stays null."""
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(f"{c[0]}\\{c[1:]}")), CONTROL, F.replace(text, F.lit("\\"), F.lit("\\\\")))
 
 

@@ -7,7 +7,7 @@ begin, which must lie in the document with the window's length behind it, and th
 the window's.
 
 Windows are broadcast up to ``most_windows`` of them, which are counted first. Beyond that, words and prefixes are
-joined by a shuffle, and candidates are joined with their documents' words for the comparison.
+joined by a shuffle, a document's candidates are gathered, and each document that has some is joined with them once.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import ascii_lower, written
+from rowsmith.llm.common import ascii_lower, row_key, whole_rows, written
 
 WINDOW = 10
 #: Windows, of ten words each, that may be broadcast.
 MOST_WINDOWS = 100_000
+#: A word before A-Z are in lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,9 +58,11 @@ def matches(docs: DataFrame, windows: DataFrame, most_windows: int = MOST_WINDOW
     if small:
         found = docs.select("row_key", "w", F.posexplode("w").alias("p", "word")).join(F.broadcast(prefix), "word").filter(inside)
         return found.select("row_key", (F.col("p") - F.col("offset")).alias("s"), "k", "window_key").distinct()
-    places = docs.select("row_key", F.posexplode("w").alias("p", "word")).join(prefix.drop("window"), "word")
-    places = places.join(docs, "row_key").join(prefix.select("window_key", "window"), "window_key").filter(inside)
-    return places.select("row_key", (F.col("p") - F.col("offset")).alias("s"), "k", "window_key").distinct()
+    places = docs.select("row_key", F.posexplode("w").alias("p", "word")).join(prefix.select("word", "window_key", "k", "offset"), "word").filter("p >= offset")
+    places = places.groupBy("row_key").agg(F.collect_set(F.struct((F.col("p") - F.col("offset")).alias("s"), "k", "window_key")).alias("places"))
+    there = lambda x: F.sha2(F.array_join(F.slice("w", x["s"] + 1, x["k"]), " "), 256) == x["window_key"]
+    found = places.join(docs.dropDuplicates(["row_key"]), "row_key").select("row_key", F.explode(F.filter("places", there)).alias("x"))
+    return found.select("row_key", "x.s", "x.k", "x.window_key")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
@@ -68,7 +72,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     Rows of documents repeated with the same id and text get the same row each. Columns besides ``doc_id``,
     ``item_id`` and ``text`` are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
     windows = written(windows_of(benchmark, size), "windows")
     found = written(matches(docs.select("row_key", words(F.col("text")).alias("w")), windows, most_windows), "matches")
     before = F.max(F.col("s") + F.col("k")).over(W.partitionBy("row_key").orderBy("s", "k").rowsBetween(W.unboundedPreceding, -1))
@@ -77,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     items = found.select("row_key", "window_key").distinct().join(windows.select("window_key", "item_id"), "window_key").select("row_key", "item_id").distinct()
     items = items.groupBy("row_key").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
     marked = written(hit.join(items, "row_key"), "marked")
-    out = docs.select("doc_id", "row_key", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(marked, "row_key", "left")
+    out = docs.select("doc_id", "row_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).join(marked, "row_key", "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id",
@@ -90,12 +94,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns, which may have any names.
+
+    Rows whose text is null or has no words stay. Repeated rows stay or go together.
+    """
     windows = written(windows_of(benchmark, size), "windows")
-    keyed = docs.select(key.alias("row_key"), words(F.col("text")).alias("w"))
-    dirty = written(matches(keyed, windows, most_windows).select("row_key").distinct(), "dirty")
-    return docs.join(dirty, key == F.col("row_key"), "left_anti")
+    rows = whole_rows(docs)
+    keyed = rows.select(F.col("key").alias("row_key"), words(F.col("row.text").cast("string")).alias("w"))
+    dirty = written(matches(keyed, windows, most_windows).select(F.col("row_key").alias("key")).distinct(), "dirty")
+    return rows.join(dirty, "key", "left_anti").select("row.*")
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -3,14 +3,15 @@
 A text is searched as its words (A-Z in lower case; letters, digits and non-ASCII characters) with one space
 between. Hundreds of rules, each a regular expression, a label and a priority, are gated: an expression runs only in texts
 that have, of each of the rule's gates, one of the strings. Gates are read off the expression, so that whatever it finds
-has them. Of overlapping finds, one that
-lies inside a longer find is dropped, and of finds over the same words only that of the highest priority stays,
-of equals the rule that comes first. Three base phrases are found in all texts and are never dropped.
+has them. A find that lies inside a longer one is dropped. Of finds over the same words, and of those that overlap in
+part, only that of the highest priority stays, then the longer, then the one that comes first. Three base phrases are
+found in all texts and are never dropped.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from re import _constants as C
@@ -139,6 +140,94 @@ proprietary; proprietary and confidential
 non-commercial; (for )?non ?commercial use only
 no-warranty; without warranty of any kind
 no-warranty; provided by the copyright holders and contributors as is
+mit; the software is provided as is without warranty of any kind express or implied including but not limited to
+mit; to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit; opensource org licenses mit( license)?( php| html)?
+mit; (this|the) (project|package|library|module|code|software|crate|gem) is (available|released|licensed|distributed|free software) under the mit
+x11; except as contained in this notice the name of [^ ]+( [^ ]+){0,6} shall not be used in advertising
+0bsd; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software
+isc; in no event shall the author be liable for any special direct indirect or consequential damages
+apache-2; unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2; apache org licenses license 2 0( txt| html)?
+apache-2; grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-1.1; the end user documentation included with the redistribution if any must include the following acknowledg(e)?ment
+bsd-2-clause; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2-clause; redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd-3-clause; may be used to endorse or promote products derived from this software without specific prior written permission
+bsd; (use of this source code|this source code) is governed by a bsd style license
+bsd; (released|distributed|licensed|available) under (the |a )?(terms of the )?bsd( style)? licen[cs]e
+gpl-2; under the terms of the gnu general public license as published by the free software foundation either version 2
+gpl-2; gnu org licenses (old licenses )?gpl 2 0
+gpl-3; under the terms of the gnu general public license as published by the free software foundation either version 3
+gpl-3; gnu org licenses gpl 3 0
+gpl; you should have received a copy of the gnu general public license along with this program
+gpl; without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+gpl; everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+lgpl; you should have received a copy of the gnu (lesser|library) general public license
+lgpl-2.1; under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
+lgpl-3; under the terms of the gnu lesser general public license as published by the free software foundation either version 3
+agpl-3; under the terms of the gnu affero general public license as published by the free software foundation either version 3
+agpl; you should have received a copy of the gnu affero general public license
+gfdl; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+mpl-2; if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1; the contents of this file are subject to the mozilla public license version 1 1
+npl-1.1; the contents of this file are subject to the netscape public license
+epl-1; eclipse org legal epl v10( html)?
+epl-2; eclipse org legal epl 2 0
+cddl; the contents of this file are subject to the terms of the common development and distribution license
+bsl-1; distributed under the boost software license version 1 0
+bsl-1; boost org license 1 0( txt)?
+busl-1.1; use of this software is governed by the business source license
+elastic-2; you may not provide the software to third parties as a hosted or managed service
+sspl-1; licensed under the server side public license
+zlib; this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib; the origin of this software must not be misrepresented you must not claim that you wrote the original software
+unlicense; anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl; everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
+wtfpl; you just do what the fuck you want to
+beerware; if we meet some day and you think this stuff is worth it you can buy me a beer in return
+cc0; to the extent possible under law [^ ]+( [^ ]+){0,8} (has|have) waived all copyright and related or neighboring rights
+cc0; creativecommons org publicdomain zero 1 0
+public-domain; creativecommons org publicdomain mark 1 0
+cc-by; creativecommons org licenses by [1-4] [05]
+cc-by-sa; creativecommons org licenses by sa [1-4] [05]
+cc-by-nd; creativecommons org licenses by nd [1-4] [05]
+cc-by-nc; creativecommons org licenses by nc [1-4] [05]
+cc-by-nc-sa; creativecommons org licenses by nc sa [1-4] [05]
+cc-by-nc-nd; creativecommons org licenses by nc nd [1-4] [05]
+cc-by-sa; text is available under the creative commons attribution share ?alike license
+public-domain; no rights reserved
+public-domain; (author|authors) (disclaims?|waives?) (all )?copyright
+odbl-1; opendatacommons org licenses odbl
+odbl-1; (c )?openstreetmap contributors
+ofl-1.1; scripts sil org ofl
+openssl; this product includes software developed by the openssl project
+postgresql; permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+python-2; psf is making python available to licensee on an as is basis
+php-3.01; this source file is subject to version 3 01 of the php license
+ruby; you may redistribute (this library|it) and or modify it under the same terms as ruby
+perl; (free software you can redistribute it and or modify it|licensed) under the same terms as perl( itself)?
+vim; charityware you can use and copy it as much as you like
+json; the software shall be used for good not evil
+commons-clause; the license does not include the right to sell the software
+commons-clause; commons clause license condition
+polyform; polyform (noncommercial|small business|shield|strict) license
+llama-2; llama 2 is licensed under the llama 2 community license
+llama-3; (llama 3( [1-3])? is licensed under the|built with) (meta )?llama 3( [1-3])?( community license)?
+openrail; use based restrictions (set forth|as referenced) in (paragraph|attachment|the)
+gov; this is a work of the (u s|united states) government
+crown; contains public sector information licensed under the open government licence
+proprietary; no part of this (publication|work|book|document|material) may be reproduced( stored| distributed| or transmitted)?
+proprietary; may not be (copied|reproduced|redistributed|distributed) without (the )?(prior |express )?(written )?(permission|consent)
+proprietary; (reproduced|reprinted|used) with (the )?permission (of|from)
+proprietary; this (software|document|material) (contains|is) (the )?(confidential|proprietary)( and proprietary)? (information|property)
+proprietary; trade secrets? of
+evaluation; for (evaluation|trial|demonstration) (purposes )?only
+academic; for (research|academic|educational|teaching)( and (research|educational|academic))? (use|purposes) only
+no-derivatives; no derivative works
+no-ai; may not be used (to train|for training|in the training of)
+no-warranty; in no event shall the (authors|copyright (holders?|owner)|regents)( or( copyright holders| contributors)?)? be liable
+no-warranty; use (it )?at your own risk
 copyright; copyright( c)? (19|20)[0-9]{2}( (19|20)[0-9]{2})*
 """
 #: How a name stands in a text: pattern around it, priority, confidence.
@@ -200,13 +289,18 @@ def rules() -> list[tuple[str, int, float, tuple[frozenset[bytes], ...], re.Patt
 
 
 def settle(finds: list[tuple[int, int, int, int, str, float]]) -> list[tuple]:
-    """Of (start, end, priority, rule, label, confidence): none inside a longer one, one over the same words."""
+    """Of (start, end, priority, rule, label, confidence): none inside a longer one, none that overlaps a better one."""
     finds.sort(key=lambda f: (f[0], -f[1], -f[2], f[3]))
-    out, reach = [], -1
+    outer, reach = [], -1
     for f in finds:
         if f[1] > reach:  # starts are in order, so that a find within the reach of an earlier one lies inside it
-            out.append(f)
+            outer.append(f)
             reach = f[1]
+    out: list[tuple] = []
+    for f in sorted(outer, key=lambda f: (-f[2], f[0] - f[1], f[0], f[3])):
+        at = bisect_left(out, f[:1])
+        if (at == 0 or out[at - 1][1] <= f[0]) and (at == len(out) or out[at][0] >= f[1]):
+            insort(out, f)
     return out
 
 
@@ -220,11 +314,12 @@ def scan(raw: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, s
     text = b" ".join(parts)
     base = []
     for phrase, label in BASE:
-        at = text.find(phrase)
+        at, word, counted = text.find(phrase), 0, 0
         while at >= 0:
             end = at + len(phrase)
             if (at == 0 or text[at - 1] == 32) and (end == len(text) or text[end] == 32):
-                base.append((text.count(b" ", 0, at), label))
+                word, counted = word + text.count(b" ", counted, at), at
+                base.append((word, label))
             at = text.find(phrase, at + 1)
     finds = []
     there: dict[frozenset[bytes], bool] = {}

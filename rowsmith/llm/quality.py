@@ -5,9 +5,9 @@ punctuation mark, capitals, digits, repeated words and the most frequent word ar
 weight for each place gives a score s, and ordered thresholds give P(grade <= k) = logistic(threshold_k - s), so that
 all grades share the weights. The expected grade ranks documents; the probability of the top grade selects them.
 
-The model is fitted on the driver to a sample of at most ``sample`` labelled rows, chosen by a hash of the id, and
-holds weights only for places that at least ``least_docs`` rows of the sample have: its size is bounded whatever the
-input. Everything else runs over all rows, and scoring shuffles nothing.
+The model is fitted on the driver to a sample of at most ``sample`` labelled rows with at most ``most_places`` features,
+the first by a hash of id and text, and holds weights only for places that at least ``least_docs`` rows of the sample have:
+its size is bounded whatever the input. Tasks send features of the sample, not its texts. Everything else runs over all rows, and scoring shuffles nothing.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import ALNUM, U64, mix, slices, text_bytes, words_of
+from rowsmith.llm.common import ALNUM, U64, mix, row_key, slices, text_bytes, words_of, written
 from rowsmith.llm.minhash import weighted
 
 #: Labelled rows that the fit may use at most, and rows of it that must have a feature.
 SAMPLE, LEAST_DOCS = 16_000, 3
+#: Features that the rows of the fit may have together.
+MOST_PLACES = 16_000_000
 PUNCTUATION = np.array([b for b in range(33, 127) if not chr(b).isalnum()])
 
 
@@ -58,20 +60,53 @@ def feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(j - i + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[order].astype(np.int64)))
-            yield pa.record_batch([batch.column("grade").slice(i, j - i), lists], names=["grade", "places"])
+            yield pa.record_batch([batch.column("rank").slice(i, j - i), batch.column("grade").slice(i, j - i), lists], names=["rank", "grade", "places"])
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs: int = LEAST_DOCS, steps: int = 200, decay: float = 2e-4) -> dict:
-    """Weights and thresholds from ``labelled`` (text, grade from 0 to ``grades`` - 1), at most ``sample`` rows of it.
+def loss_and_gradient(theta: np.ndarray, doc: np.ndarray, column: np.ndarray, y: np.ndarray, places: int, grades: int, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with a penalty on weights, and its gradient.
 
-    Rows with a null grade are left out. With no rows, every text gets the same, highest probability of the top grade.
+    ``theta`` holds the weights of ``places`` features, the first threshold and the logarithms of the gaps to the next,
+    so that thresholds stay in order; ``doc`` and ``column`` name the features of each row of ``y``.
     """
-    rows = labelled.filter("grade is not null").select("text", F.col("grade").cast("int").alias("grade")).limit(sample)
-    held = rows.mapInArrow(feature_task, "grade int, places array<long>").toArrow()  # bounded by sample
+    weights, cuts = theta[:places], thresholds_of(theta[places:])
+    s = np.bincount(doc, weights[column], len(y))
+    below = np.concatenate([np.zeros((len(y), 1)), logistic(cuts[None, :] - s[:, None]), np.ones((len(y), 1))], axis=1)
+    slope = below * (1 - below)
+    each = np.arange(len(y))
+    p = np.maximum(below[each, y + 1] - below[each, y], 1e-12)
+    of_s = (slope[each, y + 1] - slope[each, y]) / p / len(y)
+    of_cut = np.zeros((len(y), grades + 1))
+    of_cut[each, y + 1] -= slope[each, y + 1] / p / len(y)
+    of_cut[each, y] += slope[each, y] / p / len(y)
+    of_gap = of_cut[:, 1:-1].sum(axis=0)[::-1].cumsum()[::-1]
+    gradient = np.concatenate([np.bincount(column, of_s[doc], places) + decay * weights, of_gap[:1], of_gap[1:] * np.exp(theta[places:][1:])])
+    return float(-np.log(p).mean() + decay / 2 * (weights**2).sum()), gradient
+
+
+def thresholds_of(theta: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])]))
+
+
+def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs: int = LEAST_DOCS, steps: int = 200, decay: float = 2e-4, most_places: int = MOST_PLACES) -> dict:
+    """Weights and thresholds from ``labelled`` (text, grade from 0 to ``grades`` - 1, and doc_id, where there is one).
+
+    The fit sees the first ``sample`` rows by a hash of id and text and, of these, the first whose features are at most
+    ``most_places`` together; of rows repeated with the same id and text all count. Rows with a null grade are left
+    out, null texts are empty. With no rows, every text gets the same, highest probability of the top grade.
+    """
+    doc_id = F.col("doc_id") if "doc_id" in labelled.columns else F.lit(None)
+    rows = labelled.filter("grade is not null").select(row_key(doc_id, F.col("text")).alias("rank"), F.col("text").cast("string").alias("text"), F.col("grade").cast("int").alias("grade"))
+    chosen = written(rows.mapInArrow(feature_task, "rank binary, grade int, places array<long>"), "labelled")
+    sizes = chosen.select("rank", "grade", F.size("places").alias("n")).orderBy("rank", "grade").limit(sample).collect()  # bounded by sample
+    total = np.cumsum([r.n for r in sizes])
+    inside = int(np.searchsorted(total, most_places, side="right"))
+    within = chosen.filter(F.col("rank") <= F.lit(bytes(sizes[inside - 1].rank))) if inside else chosen.limit(0)
+    held = within.orderBy("rank", "grade").limit(sample).select("grade", "places").toArrow()  # bounded by sample and most_places
     y = held.column("grade").to_numpy().astype(np.int64)
     lists = held.column("places").combine_chunks() if len(y) else pa.array([], pa.list_(pa.int64()))
     place = lists.flatten().to_numpy().astype(np.int64)
@@ -79,33 +114,19 @@ def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs:
     known, column, docs_with = np.unique(place, return_inverse=True, return_counts=True)
     keep = docs_with >= least_docs
     new = np.cumsum(keep) - 1
-    inside = keep[column] if len(column) else np.zeros(0, bool)
-    doc, column, known = doc[inside], new[column[inside]], known[keep]
+    often = keep[column] if len(column) else np.zeros(0, bool)
+    doc, column, known = doc[often], new[column[often]], known[keep]
     if not len(y):
         return {"known": known, "weights": np.zeros(0), "thresholds": np.full(grades - 1, -50.0) + np.arange(grades - 1), "grades": grades}
     share = np.array([np.clip((y <= k).mean(), 0.01, 0.99) for k in range(grades - 1)])
     start = np.log(share / (1 - share))
-    # Thresholds as a first one and logarithms of gaps, so that they stay in order.
     theta = np.concatenate([np.zeros(len(known)), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        weights, cuts = theta[: len(known)], np.cumsum(np.concatenate([theta[len(known) :][:1], np.exp(theta[len(known) :][1:])]))
-        s = np.bincount(doc, weights[column], len(y))
-        below = np.concatenate([np.zeros((len(y), 1)), logistic(cuts[None, :] - s[:, None]), np.ones((len(y), 1))], axis=1)
-        slope = below * (1 - below)
-        each = np.arange(len(y))
-        p = np.maximum(below[each, y + 1] - below[each, y], 1e-12)
-        of_s = (slope[each, y + 1] - slope[each, y]) / p / len(y)
-        of_cut = np.zeros((len(y), grades + 1))
-        of_cut[each, y + 1] -= slope[each, y + 1] / p / len(y)
-        of_cut[each, y] += slope[each, y] / p / len(y)
-        of_cut = of_cut[:, 1:-1].sum(axis=0)
-        of_gap = of_cut[::-1].cumsum()[::-1]
-        gradient = np.concatenate([np.bincount(column, of_s[doc], len(known)) + decay * weights, of_gap[:1], of_gap[1:] * np.exp(theta[len(known) :][1:])])
+        _, gradient = loss_and_gradient(theta, doc, column, y, len(known), grades, decay)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    cuts = np.cumsum(np.concatenate([theta[len(known) :][:1], np.exp(theta[len(known) :][1:])]))
-    return {"known": known, "weights": theta[: len(known)].copy(), "thresholds": cuts, "grades": grades}
+    return {"known": known, "weights": theta[: len(known)].copy(), "thresholds": thresholds_of(theta[len(known) :]), "grades": grades}
 
 
 def predict(model: dict, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
@@ -144,10 +165,13 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, grade) of at most ``sample`` labelled documents, the first by a hash of the id."""
+    """(doc_id, text, grade) of the documents with the first ``sample`` labels by a hash of the id.
+
+    A document labelled more than once, or repeated, comes once for each; without an id or a whole label it has none.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade is not null and doc_id is not null")
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
 
 
 def score(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -161,7 +185,10 @@ def score(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
 
 
 def select(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``score`` keeps, with all their columns, which may have any names.
+
+    Null and empty texts are judged by their shape; repeated rows stay or go together; an empty table stays empty.
+    """
     task = score_task(model, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.SQL, "op10_decontamination": decontam.SQL}
+    return {"op5_embedding_near_dedup": vectors.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontam.SQL}

@@ -143,3 +143,20 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCK
     out = ids.join(labels, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM u
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.vec_id, e.b FROM reach r JOIN e ON r.other = e.a),
+low AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+links AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY 1)
+SELECT u.vec_id, coalesce(n_links, 0) AS n_links, component_id, u.vec_id = component_id AS kept
+FROM u LEFT JOIN low USING (vec_id) LEFT JOIN links USING (vec_id)
+"""
