@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from rowsmith.llm.common import SPACED, U64, map_array, mix, put_array, shared_p
 
 #: Hashes of the mark that ends a text and of the mark before its first token.
 END, START = U64(0x5EED0000000E2D01), U64(0x5EED00000057A127)
-ORDER = 3
+#: Longest n-gram unless another is asked for. Each order more stores about all its distinct n-grams: see the README for
+#: what 3 takes.
+ORDER = 2
 #: Tokens that a counting task holds before it sends its runs.
 FLUSH = 4_000_000
 #: Parts that the n-grams of one context may lie in: a context of a third of all tokens does not fill one shard.
@@ -109,16 +112,21 @@ RUN_DDL = "level int, shard int, kind string, run array<binary>"
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Byte planes of non-negative integers: the high ones are zeros, which shuffle files compress away."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Byte planes of non-negative integers, compressed: small numbers take little more than their entropy."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
 def runs(kind: str, shards: int, words: np.ndarray, ids: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each shard: its words, then its n-grams as places in them, a context once for all that follow it, and values."""
+    """A row for each shard: its words, most frequent first, then its n-grams as places in them, a context once for all that follow it, and values."""
     columns = [words[c] for c in ids]
     h, context = hash_of(columns), mix(context_hash(columns[:-1])) if len(columns) > 1 else columns[0]
     shard = shard_of(h, shards)
@@ -129,10 +137,10 @@ def runs(kind: str, shards: int, words: np.ndarray, ids: list[np.ndarray], value
         if cuts[s] < cuts[s + 1]:
             part = order[cuts[s] : cuts[s + 1]]
             own = [c[part] for c in ids]
-            used = np.zeros(len(words), bool)
-            for c in own:
-                used[c] = True
-            there = np.flatnonzero(used)
+            # A shard's words stand by how often they occur, so that most places are small numbers.
+            uses = sum(np.bincount(c, minlength=len(words)) for c in own)
+            there = np.flatnonzero(uses)
+            there = there[np.argsort(-uses[there], kind="stable")]
             local[there] = np.arange(len(there))
             at = first_of_each(*own[:-1]) if len(own) > 1 else np.arange(len(part))
             lengths = np.diff(np.append(at, len(part)))
