@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,15 +196,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 BLOCK = 256
 
 
-def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], Iterable[tuple[int, int]]], name: str, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], tuple], name: str, block: int = BLOCK) -> DataFrame:
     """(id, component) of the nodes that verified links connect; only nodes that share a bucket need be compared.
 
     ``members`` has (bucket, node) without repeats. ``prepare`` gives a row (node, ...) of what verifying needs for each
     node that has company. First a bucket's nodes are compared with its leader, the node with most company: ``verify``
     keeps those of the pairs (a, b) that are linked. Nodes linked with the same node are one group. What then lies
     outside its bucket's main group is attached to that group, and all that is attached is compared with one another and
-    with what such buckets hold of the group, in blocks: ``verify_block`` yields linked rows of two tables of facts, and of
-    these only as many are returned as connect the block. So all pairs of a bucket are compared or known to be
+    with what such buckets hold of the group, in blocks: ``verify_block`` gives of two tables of facts the rows that may be linked, as (i, j,
+    check), and ``check`` decides on some of them. Pairs that are connected by then are not compared, and only as many links
+    are returned as connect the block. So all pairs of a bucket are compared or known to be
     connected, no pair is a row but those with a leader, and a block is all that a task holds.
     """
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), name)
@@ -224,22 +225,27 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     main = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("labels"))
     # A bucket of two has been compared, and one with a single label is connected.
     main = written(main.filter("n > 2 and labels > 1").select("bucket", F.col("m.label").alias("main")), name)
-    state = written(state.join(main, "bucket").select(F.col("main").alias("cluster"), "node", (F.col("label") != F.col("main")).alias("apart")).distinct(), name)
-    apart = state.filter("apart").select("cluster", "node")
+    state = written(state.join(main, "bucket").select(F.col("main").alias("cluster"), "node", "label").distinct(), name)
+    apart = state.filter("label <> cluster").select("cluster", "node").distinct()
     if not apart.isEmpty():
         links = links.union(written(_linked_in_blocks(apart, state, facts, verify_block, name, block), name))
     return components(links, name)
 
 
+#: Pairs that are compared before it is seen again which ones are connected.
+TURN = 1024
+
+
 def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int) -> DataFrame:
-    """Links of the attached nodes (cluster, node) with one another and with the others of ``state``."""
-    whole = state.select("cluster", "node").distinct()
+    """Links of the attached nodes (cluster, node) with one another and with the others of ``state`` (cluster, node, label)."""
+    whole = state.groupBy("cluster", "node").agg(F.min("label").alias("label"))
+    apart = apart.join(whole, ["cluster", "node"])
     blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
     sizes = written(blocks(apart, "left_n").join(blocks(whole, "right_n"), "cluster"), name)
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = apart.join(sizes, "cluster").select("cluster", "node", F.lit(0).alias("side"), own("left_n").alias("i"), each("right_n").alias("j"))
-    right = whole.join(sizes, "cluster").select("cluster", "node", F.lit(1).alias("side"), each("left_n").alias("i"), own("right_n").alias("j"))
+    left = apart.join(sizes, "cluster").select("cluster", "node", "label", F.lit(0).alias("side"), own("left_n").alias("i"), each("right_n").alias("j"))
+    right = whole.join(sizes, "cluster").select("cluster", "node", "label", F.lit(1).alias("side"), each("left_n").alias("i"), own("right_n").alias("j"))
     rows = left.union(right).join(facts, "node")
     kind = facts.schema["node"].dataType.simpleString()
 
@@ -247,19 +253,30 @@ def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, veri
         side = table.column("side").to_numpy()
         parts = [table.filter(pa.array(side == k)) for k in (0, 1)]
         names = [p.column("node").to_pylist() for p in parts]
-        up: dict = {}
-
-        def root(x):
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
-
+        places = {x: k for k, x in enumerate(dict.fromkeys(names[0] + names[1]))}
+        at = [np.array([places[x] for x in own_names], np.int64) for own_names in names]
+        # Nodes of one label are connected from the start.
+        group = np.arange(len(places))
+        first: dict = {}
+        for own_at, p in zip(at, parts, strict=True):
+            for k, label in zip(own_at.tolist(), p.column("label").to_pylist(), strict=True):
+                group[k] = first.setdefault(label, k)
+        i, j, check = verify_block(*parts)
+        order = np.random.default_rng(len(i)).permutation(len(i))
+        i, j = i[order], j[order]
         found = []
-        for i, j in verify_block(*parts):
-            a, b = root(names[0][i]), root(names[1][j])
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                found.append((min(names[0][i], names[1][j]), max(names[0][i], names[1][j])))
+        while True:
+            open_ = group[at[0][i]] != group[at[1][j]]
+            i, j = i[open_], j[open_]
+            if not len(i):
+                break
+            yes = check(i[:TURN], j[:TURN])
+            for a, b in zip(i[:TURN][yes].tolist(), j[:TURN][yes].tolist(), strict=True):
+                x, y = group[at[0][a]], group[at[1][b]]
+                if x != y:
+                    group[group == max(x, y)] = min(x, y)
+                    found.append((min(names[0][a], names[1][b]), max(names[0][a], names[1][b])))
+            i, j = i[TURN:], j[TURN:]
         types = table.schema.field("node").type
         return pa.table({"a": pa.array([x[0] for x in found], types), "b": pa.array([x[1] for x in found], types)})
 

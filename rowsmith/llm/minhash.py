@@ -156,12 +156,12 @@ def verify_task(threshold: float):
 
 
 def linked_block(threshold: float):
-    """Links of two tables of sets: shares of common weight by matrix products, then J_P of the pairs that these leave.
+    """Pairs of two tables of sets that may be linked by shares of common weight, from matrix products; J_P decides.
 
     J_P is at most the share of either's weight that is common, so that a pair with less than the threshold is out.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int]]:
+    def run(left: pa.Table, right: pa.Table) -> tuple:
         sides = []
         for table in (left, right):
             h = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
@@ -185,9 +185,10 @@ def linked_block(threshold: float):
                 share.append(weight)
             shares[0] += share[0] @ there[1].T
             shares[1] += there[0] @ share[1].T
-        for i, j in np.argwhere(shares.min(axis=0) >= threshold - 1e-3).tolist():
-            if sides[0][2][i] != sides[1][2][j] and probability_jaccard(sides[0][0][i], sides[0][1][i], sides[1][0][j], sides[1][1][j]) >= threshold:
-                yield i, j
+        near = shares.min(axis=0) >= threshold - 1e-3
+        near &= np.array(sides[0][2], object)[:, None] != np.array(sides[1][2], object)[None, :]
+        similar = lambda i, j: probability_jaccard(sides[0][0][i], sides[0][1][i], sides[1][0][j], sides[1][1][j]) >= threshold
+        return *np.nonzero(near), lambda i, j: np.array([similar(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
     return run
 

@@ -276,7 +276,7 @@ def test_a_group_costs_a_comparison_for_each_copy(spark):
         compared.append(pairs.count())
         return pairs
 
-    found = common.linked(members, lambda nodes: nodes, verify, lambda left, right: [], "test")
+    found = common.linked(members, lambda nodes: nodes, verify, lambda left, right: (np.zeros(0, int), np.zeros(0, int), None), "test")
     assert found.select("component").distinct().collect()[0][0] == 0 and found.count() == n - 1
     assert sum(compared) < 4 * n
 
@@ -289,7 +289,8 @@ def test_pairs_apart_from_the_leader_are_compared(spark, block):
 
     def in_block(left, right):
         rows = [t.column("node").to_pylist() for t in (left, right)]
-        return [(i, j) for i, a in enumerate(rows[0]) for j, b in enumerate(rows[1]) if (min(a, b), max(a, b)) in true]
+        i, j = np.array([(i, j) for i, a in enumerate(rows[0]) for j, b in enumerate(rows[1]) if a != b], int).reshape(-1, 2).T
+        return i, j, lambda i, j: np.array([(min(rows[0][a], rows[1][b]), max(rows[0][a], rows[1][b])) in true for a, b in zip(i, j, strict=True)])
 
     got = common.linked(members, lambda nodes: nodes, lambda pairs, _: pairs.join(links, ["a", "b"]), in_block, "test", block)
     assert {(r.id, r.component) for r in got.collect()} == {(1, 0), (3, 2), (4, 2), (8, 7)}
