@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions import emails, html, names, urls
 from rowsmith.plans.tables import Book, Tables
-from rowsmith.plans.texts import LINKS, has_any, quoted
+from rowsmith.plans.texts import LINKS, REPAIRED, chain, has_any, quoted
+from rowsmith.plans.texts import stripped as _strip
 
 book = Book()
 
@@ -60,13 +61,6 @@ def written(t: Tables, **expressions: str):
     return t.customer.select("c_custkey", "c_name", *(F.expr(e).alias(n) for n, e in expressions.items()))
 
 
-def chain(column: str, rules, flags: str) -> str:
-    for pattern, new in rules:
-        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, {quoted(flags)})"
-    return column
-
-
-_strip = lambda c, chars=r"\s": f"regexp_replace({c}, '^[{chars}]+|[{chars}]+$', '', 'g')"
 _host = lambda c: f"split_part({c}, '@', -1)"
 
 
@@ -148,19 +142,9 @@ def email_total_rank(t: Tables):
     return written(t, e=EMAIL, result=_v).filter("e is not null").select("c_custkey", emails.total_rank(F.col("e"), F.col("result")).alias("total"))
 
 
-_lookless = []
-for _pattern, _new in emails.REPAIRS:
-    if "(?=" in _pattern:  # what follows is taken along and put back
-        _group = _pattern.count("(") - _pattern.count("(?") - _pattern.count("\\(") + 1
-        _pattern, _new = _pattern.replace("(?=", "("), _new + f"${_group}"
-    _lookless.append((_pattern, _new))
-_repaired = f"lower({_strip(chain(_strip('c'), _lookless, 'gi'))})"
-_repaired = f"regexp_replace({_repaired}, '^[.,;:() ]+|[.,;:() ]+$', '', 'g')"
-
-
 @book.add(f"""
 WITH r AS (SELECT c_custkey, {EMAIL} AS e FROM customer), p AS (SELECT c_custkey, unnest(regexp_split_to_array(coalesce(e, ''), '[,;]\\s*')) AS c FROM r),
-f AS (SELECT c_custkey, {_repaired} AS fixed FROM p)
+f AS (SELECT c_custkey, {REPAIRED} AS fixed FROM p)
 SELECT c_custkey, fixed AS email, count(*) AS times FROM f WHERE regexp_matches(fixed, {quoted(emails.STRICT_FORMAT)}) AND length(fixed) > 5 GROUP BY 1, 2""")
 def email_cells(t: Tables):
     """All addresses of a cell, each through the 34 repairs and the strict format."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from rowsmith.operators.merge import enrich
 from rowsmith.operators.reshape import unpivot_counts
@@ -43,18 +45,63 @@ class ProjectTable:
         df.write.parquet(f"{self.base}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}/current")
 
+    def describe(self) -> dict:
+        """Rows, columns and types of the table, also written as JSON beside it."""
+        df = self.load()
+        found = {"version": self._version(), "rows": df.count(), "columns": {f.name: f.dataType.simpleString() for f in df.schema.fields}}
+        self.spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}/metadata")
+        return found
+
     def add_columns(self, df: DataFrame, key: str, prefer: str = "new") -> None:
         self.save(enrich(self.load(), df, key, prefer))
 
-    def export(self, path: str, filters: dict[str, object] | None = None, columns: Sequence[str] | None = None) -> None:
-        """Filter first, then project, so that a filter's column need not be exported."""
+    def export(self, path: str, filters: dict[str, object] | None = None, columns: Sequence[str] | None = None) -> int:
+        """Rows written. Filter first, then project, so that a filter's column need not be exported."""
         df = apply_filters(self.load(), filters or {})
-        (df if columns is None else df.select(*columns)).write.mode("overwrite").option("header", True).csv(path)
+        return export_csv(df if columns is None else df.select(*columns), path)
 
     def profile(self) -> DataFrame:
         return unpivot_counts(self.load())
 
 
+def projects(spark: SparkSession, root: str) -> list[str]:
+    """Names of the tables under ``root``, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/current")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    return sorted(f.getPath().getParent().getName() for f in found)
+
+
+def export_csv(df: DataFrame, path: str, mark: bool = False) -> int:
+    """Write a CSV with a header, under a byte order mark if asked for, and count its rows in the same pass."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
+
+
+def export_stamped(df: DataFrame, root: str, stamp: str) -> list[str]:
+    """A copy under a time stamp and one under ``latest``, both with a byte order mark; written once, then read."""
+    stamped = f"{root.rstrip('/')}/{stamp}"
+    export_csv(df, stamped, mark=True)
+    df.sparkSession.read.option("header", True).csv(stamped).write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/latest")
+    return [stamped, f"{root.rstrip('/')}/latest"]
+
+
+def export_sample(df: DataFrame, path: str, order_by: Sequence[str], n: int = 100) -> int:
+    """The first ``n`` rows by an order."""
+    return export_csv(df.orderBy(*order_by).limit(n), path)
+
+
+def export_outcomes(df: DataFrame, path: str, success, form: str = "json") -> None:
+    """``success``, ``failed`` and ``combined`` below ``path``; a null condition is a failure."""
+    marked = df.withColumn("success", F.coalesce(success, F.lit(False)))
+    marked.write.mode("overwrite").format(form).option("header", True).save(f"{path}/combined")
+    for name, rows in (("success", marked.filter("success")), ("failed", marked.filter("not success"))):
+        rows.drop("success").write.mode("overwrite").format(form).option("header", True).save(f"{path}/{name}")
+
+
 def export_segments(df: DataFrame, path: str, by: str, form: str = "csv") -> None:
     """One folder for each value of ``by``."""
     df.write.mode("overwrite").partitionBy(by).option("header", True).format(form).save(path)

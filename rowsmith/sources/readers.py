@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,66 @@ def normalised_header(names: Sequence[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
-    """A CSV with a header, all columns text; of ``columns`` those that it has."""
+#: Encodings in the order in which they are tried; the last reads any bytes.
+ENCODINGS = ("UTF-8", "windows-1251", "ISO-8859-1")
+
+
+def allow(spark: SparkSession, encodings: Sequence[str]) -> None:
+    """Let the session read encodings beyond those of the standard."""
+    if any(not e.upper().startswith(("UTF-", "ISO-8859-1", "US-ASCII")) for e in encodings):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
+    """The first of ``encodings`` under which no line of the files has a character that can't be read, else the last."""
+    allow(spark, encodings)
+    for name in encodings[:-1]:
+        lines = spark.read.option("encoding", name).option("sep", "\x01").option("quote", "").schema("line string").csv(path)
+        if lines.filter(F.col("line").contains("\ufffd")).isEmpty():
+            return name
+    return encodings[-1]
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", columns: Sequence[str] | None = None, multi_line: bool = True, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """A CSV with a header, all columns text; of ``columns`` those that it has, with a warning for the others.
+
+    Without an ``encoding`` the first of ``encodings`` that reads all of it is taken.
+    """
+    encoding = encoding or encoding_of(spark, path, encodings)
+    allow(spark, [encoding])
     df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(path)
     df = df.toDF(*normalised_header(df.columns))
-    return df if columns is None else df.select(*(c for c in columns if c in df.columns))
+    if columns is None:
+        return df
+    if missing := [c for c in columns if c not in df.columns]:
+        warnings.warn(f"{path} has no columns {missing}", stacklevel=2)
+    return df.select(*(c for c in columns if c in df.columns))
+
+
+def read_headerless(spark: SparkSession, path: str, rows: int = 10, least: int = 6) -> DataFrame:
+    """(email, result) of a CSV without a header: the first column with an at sign in ``least`` of its first ``rows`` rows, and the next one."""
+    df = spark.read.option("header", False).csv(path)
+    first = df.limit(rows).agg(*(F.count_if(F.col(c).contains("@")).alias(c) for c in df.columns)).head()
+    found = [k for k, c in enumerate(df.columns) if first[c] >= least]
+    if not found or found[0] + 1 == len(df.columns):
+        raise ValueError(f"no column of {path} holds addresses before another one")
+    return df.select(F.col(df.columns[found[0]]).alias("email"), F.col(df.columns[found[0] + 1]).alias("result"))
+
+
+def files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, modified) of the files that a pattern names; their content is not read."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"))
+
+
+def latest(spark: SparkSession, pattern: str) -> str | None:
+    """The last file by name."""
+    return files(spark, pattern).agg(F.max("path")).head()[0]
+
+
+def latest_of_each(spark: SparkSession, pattern: str, key: str) -> DataFrame:
+    """(key, path): the last file by name of each group 1 of the expression ``key`` in the file's name."""
+    name = F.regexp_extract(F.substring_index("path", "/", -1), key, 1)
+    return files(spark, pattern).select(name.alias("key"), "path").filter("key <> ''").groupBy("key").agg(F.max("path").alias("path"))
 
 
 def resolve(columns: Sequence[str], aliases: dict[str, Sequence[str]] = ALIASES) -> dict[str, str]:
@@ -84,5 +140,16 @@ def flatten_places(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_places(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_places(spark.read.schema(PLACES_DOCUMENT).option("multiLine", True).json(path))
+def read_places(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """Places of JSON files, without files whose path has one of ``exclude``.
+
+    A state that a document lacks is the name of its folder, a niche the start of the file's name before a date.
+    """
+    documents = spark.read.schema(PLACES_DOCUMENT).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    for part in exclude:
+        documents = documents.filter(~F.contains("file", F.lit(part)))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    folder = blank(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    niche = blank(F.regexp_extract("file", r"([a-z_]+)_\d{8}[^/]*$", 1))
+    meta = F.struct(F.coalesce(blank(F.col("metadata.state")), folder).alias("state"), F.coalesce(blank(F.col("metadata.niche")), niche).alias("niche"), F.col("metadata.timestamp").alias("timestamp"))
+    return flatten_places(documents.select(meta.alias("metadata"), "results_by_city"))

@@ -98,3 +98,49 @@ def test_names(spark):
     assert one(spark, names.short(F.col("v")), v="The Big Museum") == "Big"
     assert one(spark, names.from_domain(F.col("v")), v="big-shop.com.au") == "Big Shop"
     assert one(spark, names.render("{a}-{b}", {"a": F.col("v"), "b": F.lit(None)}), v="x") == "x-"
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("%20info@shop.com", "info@shop.com"), ("a@shop.comhoursavailable", "a@shop.comhoursavail"), ("b@m.ukr", "b@m.ukr"), (" C@Remove-This.x.nl. ", "c@x.nl"), ("555-0199d@x.org", "d@x.org"), ("nothing", ""), (None, "")],
+)
+def test_split_repair(spark, raw, want):
+    assert one(spark, emails.split_repair(F.col("v").cast("string")), v=raw) == want
+
+
+def test_addresses_by_other_rules(spark):
+    v = F.col("v")
+    assert one(spark, emails.scraped(v), v="Bob@site.co") == "bob@site.com"
+    assert one(spark, emails.scraped(v), v="noreply@shop.com") is None
+    assert one(spark, emails.scraped(v), v="x@example.com") is None
+    assert one(spark, emails.by_ending(v), v="dr@shop.co.ukopening and test1@x.com") == ["dr@shop.co.uk"]
+    assert one(spark, emails.suspicions(v), v="12info@shop.combig") == ["starts_with_digits", "concatenated_domain", "invalid_tld"]
+    assert one(spark, emails.suspicions(v), v="nothing") == ["invalid_format"]
+    assert one(spark, emails.revalidation_repair(v), v=" x@remove-this.y.huhorizon") == "x@y.hu"
+    for raw, want in (("john.smith@x.com", "John"), ("jane2_doe@x.com", "Jane"), ("anna@x.com", "Anna"), ("info@x.com", None), ("ab@x.com", None)):
+        assert one(spark, emails.first_name(v), v=raw) == want
+
+
+def test_places_and_pages(spark):
+    v = F.col("v")
+    assert one(spark, urls.short_place(v), v="1 Main St, Houston, TX 77001, USA") == "Houston, TX"
+    assert one(spark, urls.short_place(v), v="Somewhere in a town without commas") == "Somewhere in a town without co"
+    assert one(spark, urls.state(v), v="Houston, TX 77001") == "texas" and one(spark, urls.country(v), v="x, Kiel, Germany") == "Germany"
+    assert one(spark, urls.page_value(v), v="https://x.com/about") == 20 and one(spark, urls.page_value(v), v="https://x.com/blog/news/a/b") == -43
+    assert one(spark, urls.page_group(v), v="https://x.com/our-story") == 3
+    site = F.lit("https://www.x.com/start")
+    assert one(spark, urls.internal(v, site), v="/a/b?x=1#y") == "https://www.x.com/a/b"
+    assert one(spark, urls.internal(v, site), v="https://other.org/a") is None and one(spark, urls.internal(v, site), v="/style.css") is None
+    assert one(spark, urls.own_website(v, F.lit("Acme & Sons")), v="see http://finder.com or https://www.acme-shop.com") == "https://acme-shop.com"
+    assert one(spark, urls.stamped(v, F.lit(9)), v="https://x.com?a=1") == "https://x.com?a=1&t=9s"
+
+
+def test_texts_by_rules(spark):
+    v = F.col("v")
+    assert one(spark, html.contacts(v), v="CEO Jane Miller met Tom Baker, Director of sales") == [("Jane Miller", "CEO"), ("Tom Baker", "Director")]
+    assert one(spark, html.answer_fields(v), v="I'm around dentists daily and they keep saying they lose time. End") == {"dreamICP": "dentists", "painTheySolve": "lose time"}
+    assert one(spark, html.failure(v), v="Read Timeout") == "connection_timeout" and one(spark, html.failure(v), v="") == "unknown_error"
+    assert one(spark, html.plain_words(v), v="<b>bold</b> a aa 12 1234 http://x.y me@x.com word") == "bold 1234 word"
+    assert one(spark, html.dense_words(v), v="the the end {x:1} deadbeefdeadbeef " + "w" * 10 + "x" * 15) == "the end"
+    assert tuple(one(spark, html.recommended(F.lit(True), v, F.lit(10), F.lit(False)), v="high")) == ("http", 0.95)
+    assert tuple(one(spark, html.recommended(F.lit(True), v, F.lit(60), F.lit(False)), v="low")) == ("apify", 0.1)

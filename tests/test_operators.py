@@ -145,3 +145,19 @@ def test_each_query_has_its_neighbours(spark, monkeypatch):
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6)
     want = [(q, n + 1, i) for q, a in vectors if q % 4 == 0 for n, (_, i) in enumerate(sorted((-cos(a, b), i) for i, b in vectors)[:3])]
     assert got == sorted([*want, (52, 1, 52)], key=str)
+
+
+def test_one_pass_over_several_keys(spark):
+    import random
+
+    rng = random.Random(6)
+    data = [(i, rng.choice([None, *"abcdefgh"]), rng.choice([None, *range(12)]), rng.choice([None, "x", "y", "z", "w"])) for i in range(40)]
+    data += [(100 + i, f"c{i // 2}", i + 1 - (i + 1) % 2 + 50, None) for i in range(30)]
+    seen, want = set(), []
+    for i, *keys in data:
+        own = {(k, v) for k, v in enumerate(keys) if v is not None}
+        if not own & seen:
+            seen |= own
+            want.append(i)
+    got = dedupe.in_order(frame(spark, "id int, a string, b int, c string", *data).repartition(3), ["a", "b", "c"], "id")
+    assert sorted(r.id for r in got.collect()) == want
