@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rowsmith.plans import contacts, leads, merges, projections, reports, texts
+from rowsmith.plans import contacts, details, leads, merges, projections, reports, texts
 from rowsmith.plans.tables import Query
 
-BOOKS = (reports.book, merges.book, texts.book, projections.book, contacts.book, leads.book)
+BOOKS = (reports.book, merges.book, texts.book, projections.book, contacts.book, leads.book, details.book)
 
 
 def queries() -> dict[str, Query]:
