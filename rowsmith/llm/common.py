@@ -199,7 +199,7 @@ BLOCK = 256
 def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], tuple], name: str, block: int = BLOCK) -> DataFrame:
     """(id, component) of the nodes that verified links connect; only nodes that share a bucket need be compared.
 
-    ``members`` has (bucket, node) without repeats. ``prepare`` gives a row (node, ...) of what verifying needs for each
+    ``members`` has (bucket, node) without repeats; buckets of the same nodes count once. ``prepare`` gives a row (node, ...) of what verifying needs for each
     node that has company. First a bucket's nodes are compared with its leader, the node with most company: ``verify``
     keeps those of the pairs (a, b) that are linked. Nodes linked with the same node are one group. What then lies
     outside its bucket's main group is attached to that group, and all that is attached is compared with one another and
@@ -208,7 +208,9 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     are returned as connect the block. So all pairs of a bucket are compared or known to be
     connected, no pair is a row but those with a leader, and a block is all that a task holds.
     """
-    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), name)
+    # Buckets that hold the same nodes, by number and 128 bits of these, are one bucket.
+    kinds = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    sizes = written(kinds.filter("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), name)
     shared = written(members.join(sizes, "bucket").select("bucket", "node", "n"), name)
     degree = written(shared.groupBy("node").agg(F.sum("n").alias("degree")), name)
     facts = prepare(degree.select("node"))
