@@ -120,7 +120,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes, a longer text alone: what numpy holds at once stays small."""
     at, n = 0, len(bounds) - 1
     while at < n:
