@@ -235,7 +235,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
 
 
 #: Pairs that are compared before it is seen again which ones are connected.
-TURN = 1024
+TURN = 8192
 
 
 def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int) -> DataFrame:

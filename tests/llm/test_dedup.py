@@ -301,3 +301,22 @@ def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
         assert lines.edit_distance(a, b) == edit(a, b)
+
+
+def test_many_pairs_side_by_side():
+    """Against one pair at a time, short and long, near and not, in few letters and many."""
+    rng = random.Random(8)
+    for letters, longest in (("abc", 80), ("abcdefghij é日🎉", 300)):
+        a, b = [], []
+        for _ in range(1500):
+            x = [rng.choice(letters) for _ in range(rng.randrange(1, longest))]
+            y = list(x) if rng.random() < 0.7 else [rng.choice(letters) for _ in x]
+            for _ in range(rng.randrange(max(2, len(x) // 3))):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+            a.append("".join(x))
+            b.append("".join(y))
+        most = np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)])
+        want = [lines.edit_distance(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
+        assert lines.within(a, b, most).tolist() == want and 100 < sum(want) < 1400
+        assert [lines.edit_distance(x, y, int(k)) <= k for x, y, k in zip(a, b, most, strict=True)] == want
