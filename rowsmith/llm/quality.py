@@ -105,13 +105,23 @@ def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs:
     sizes = chosen.select("rank", "grade", F.size("places").alias("n")).orderBy("rank", "grade").limit(sample).collect()  # bounded by sample
     total = np.cumsum([r.n for r in sizes])
     inside = int(np.searchsorted(total, most_places, side="right"))
-    within = chosen.filter(F.col("rank") <= F.lit(bytes(sizes[inside - 1].rank))) if inside else chosen.limit(0)
-    held = within.orderBy("rank", "grade").limit(sample).select("grade", "places").toArrow()  # bounded by sample and most_places
+    if inside:
+        # Rows of one rank have the same features: of the last rank as many as there is room for, those before it all.
+        last = bytes(sizes[inside - 1].rank)
+        room = sum(bytes(r.rank) == last for r in sizes[:inside])
+        ends = chosen.filter(F.col("rank") == F.lit(last)).orderBy("grade").limit(room)
+        held = chosen.filter(F.col("rank") < F.lit(last)).union(ends).toArrow()  # bounded by sample and most_places
+    else:
+        held = chosen.limit(0).toArrow()
+    del sizes
+    held = held.sort_by([("rank", "ascending"), ("grade", "ascending")]).select(["grade", "places"])
     y = held.column("grade").to_numpy().astype(np.int64)
     lists = held.column("places").combine_chunks() if len(y) else pa.array([], pa.list_(pa.int64()))
-    place = lists.flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())) if len(y) else place
+    del held
+    place = lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy())) if len(y) else place
     known, column, docs_with = np.unique(place, return_inverse=True, return_counts=True)
+    del place, lists
     keep = docs_with >= least_docs
     new = np.cumsum(keep) - 1
     often = keep[column] if len(column) else np.zeros(0, bool)
