@@ -27,7 +27,7 @@ from rowsmith.llm.common import U64, map_array, put_array, shared_path, text_byt
 MARK = "\u2581"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks, and characters in them, that a task's table holds before it is begun anew.
-MOST_CHUNKS, MOST_CHARS = 100_000, 10_000_000
+MOST_CHUNKS, MOST_CHARS = 200_000, 20_000_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 FULL = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
