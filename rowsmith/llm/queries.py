@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import align, chat, decontam, licenses, lines, lm, minhash, pieces, quality, tokens, vectors
+from rowsmith.llm import align, chat, decontam, licenses, lines, lm, minhash, negatives, pieces, quality, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors with an id divisible by 100, labels shifted where the id is divisible by 7."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of tokens between common ends of a byte-level and a SentencePiece tokenizer, over all documents."""
     return align.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
@@ -83,9 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_decontamination": op10_decontamination,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_near_dedup": vectors.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontam.SQL}
+    return {"op5_embedding_near_dedup": vectors.SQL, "op9_chat_formatting": chat.SQL, "op10_decontamination": decontam.SQL, "op11_hard_negatives": negatives.SQL}
