@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import align, chat, decontam, licenses, lines, lm, minhash, negatives, pieces, quality, tokens, vectors
+from rowsmith.llm import align, chat, decontam, licenses, lines, lm, minhash, negatives, pieces, quality, secret_scan, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents, by the rules and by a network trained on what these find."""
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
