@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +38,7 @@ from rowsmith.llm.pieces import MARK, falls_into_chunks, processor
 #: Bytes of a range of a long document, and fragments that are composed in one step.
 CHUNK, FAN = 1 << 16, 16
 #: Units, and characters in them, that a task's table holds before it is begun anew.
-MOST_UNITS, MOST_CHARS = 150_000, 10_000_000
+MOST_UNITS, MOST_CHARS = 300_000, 10_000_000
 #: Pairs of ids that a task counts before it sends the sums, and pairs of a stored shard.
 MOST_PAIRS, SHARD = 1 << 20, 1 << 20
 
@@ -74,6 +75,9 @@ class Pair:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.b.get_piece_size())]
         self.a_len, self.b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
         self.size_b = len(self.b_bytes)
+        self.lengths = tuple(np.array(x, np.int64) for x in (self.a_len, self.b_len))
+        said = [str(k) for k in range(max(len(self.a_len), self.size_b))]
+        self.within, self.behind_a, self.behind_b = (np.array([x + mark for x in said], dtype=object) for mark in ",|;")
         made = json.loads(self.a.to_str())
         before = made["pre_tokenizer"] or {}
         self.cuts = not made["normalizer"] and before.get("type") == "ByteLevel" and bool(before.get("use_regex", True)) and not before.get("add_prefix_space") and falls_into_chunks(b_path)
@@ -84,16 +88,47 @@ class Pair:
             return [text]
         return CUT.split(text) if text[:1] == " " or BLANKS.search(text) else text.split(" ")
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of A and B for each unit with a space before it, and whether both have exactly its bytes."""
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of A and of B for each unit with a space before it, and whether both have exactly its bytes."""
         if not units:
-            return []
+            return [], [], []
         full = [" " + u for u in units]
         first = [e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)]
         second = self.b.encode(units, num_threads=1)
         second = [i or [self.b.piece_to_id(MARK)] for i in second]  # a space by itself
         of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        return [(x, y, b"".join(map(of_a, x)) == (raw := u.encode()) == b"".join(map(of_b, y))) for u, x, y in zip(full, first, second, strict=True)]
+        ok = [b"".join(map(of_a, x)) == (raw := u.encode()) == b"".join(map(of_b, y)) for u, x, y in zip(full, first, second, strict=True)]
+        return first, second, ok
+
+    def align(self, units: list[str]) -> list[tuple]:
+        """For each unit (whether its bytes are kept, groups as text, tokens of A, of B, groups, links): all units at once, as arrays."""
+        first, second, ok = self.encode(units)
+        fine = [k for k, x in enumerate(ok) if x]
+        out: list[tuple] = [(False, "", 0, 0, 0, b"")] * len(units)
+        if not fine:
+            return out
+        n_a, n_b = ([len(side[k]) for k in fine] for side in (first, second))
+        a, b = (np.fromiter(chain.from_iterable(side[k] for k in fine), np.int64, sum(n)) for side, n in ((first, n_a), (second, n_b)))
+        end_a, end_b = (np.cumsum(lengths[ids]) for lengths, ids in zip(self.lengths, (a, b), strict=True))
+        at_b = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at_b] == end_a)  # both end at the end of each unit, so that none is past the last
+        last_b = at_b[last_a]
+        links = a[last_a] * self.size_b + b[last_b]
+        is_last_a, is_last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        is_last_a[last_a], is_last_b[last_b] = True, True
+        # A token of A stands behind the tokens of B of the groups before, one of B behind those of A up to its own group.
+        of_a, of_b = np.cumsum(is_last_a) - is_last_a, np.cumsum(is_last_b) - is_last_b
+        said = np.empty(len(a) + len(b), dtype=object)
+        said[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[of_a]] = np.where(is_last_a, self.behind_a[a], self.within[a])
+        said[np.arange(len(b)) + (last_a + 1)[of_b]] = np.where(is_last_b, self.behind_b[b], self.within[b])
+        said = said.tolist()
+        raw = links.astype("<i8").tobytes()
+        groups = np.concatenate([[0], np.cumsum(is_last_a)])[np.cumsum(n_a)].tolist()
+        at = done = 0
+        for k, x, y, g in zip(fine, n_a, n_b, groups, strict=True):
+            out[k] = (True, "".join(said[at : at + x + y])[:-1], x, y, g - done, raw[8 * done : 8 * g])
+            at, done = at + x + y, g
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -221,31 +256,33 @@ class Units(dict):
             self.clear()
             self.chars, new = 0, list(units)
         self.chars += sum(map(len, new))
-        for u, (a, b, ok) in zip(new, self.pair.encode(new), strict=True):
-            n_a, n_b, n, text, links = finished(fragment(a, b, self.pair), self.pair.size_b) if ok else (0, 0, 0, "", b"")
-            self[u] = (ok, text, n_a, n_b, n, links)
+        self.update(zip(new, self.pair.align(new), strict=True))
+
+    def runs(self, cut: list[list[str]]) -> Iterator[tuple]:
+        """Of each run of whole units, what the table has of one: its groups are the groups of its units."""
+        self.learn({u for units in cut for u in units})
+        for units in cut:
+            if not units:
+                yield True, "", 0, 0, 0, b""
+                continue
+            ok, said, n_a, n_b, n, links = zip(*map(self.__getitem__, units), strict=True)
+            yield (True, ";".join(said), sum(n_a), sum(n_b), sum(n), b"".join(links)) if all(ok) else (False, "", 0, 0, 0, b"")
 
     def fragments(self, texts: list[str], ranges: list[tuple[int, int | None]]) -> Iterator[Fragment]:
         """Of each text of whole units, with a space before it, the fragment of its bytes behind ``lo`` and up to ``hi``."""
         cut = [self.pair.units(t) for t in texts]
-        self.learn({u for units in cut for u in units[1:-1]})
-        ends = self.pair.encode([u for units in cut for u in ((units[0], units[-1]) if len(units) > 1 else units)])
+        first, second, ok = self.pair.encode([u for units in cut for u in ((units[0], units[-1]) if len(units) > 1 else units)])
         at = 0
-        for units, text, (lo, hi) in zip(cut, texts, ranges, strict=True):
-            a, b, ok = ends[at]
+        for units, text, (lo, hi), inner in zip(cut, texts, ranges, self.runs([units[1:-1] for units in cut]), strict=True):
+            out = fragment(first[at], second[at], self.pair, lo, hi, ok[at])
             at += 1
-            out = fragment(a, b, self.pair, lo, hi, ok)
             if len(units) > 1:
-                inner = [self[u] for u in units[1:-1]]
-                if inner:  # the first unit ends in the range, so that whole groups follow it
-                    fine, said, n_a, n_b, n, links = zip(*inner, strict=True)
-                    said = ";".join(x for x in (out.text, *said) if x)
-                    out = out._replace(ok=out.ok and all(fine), n_a=out.n_a + sum(n_a), n_b=out.n_b + sum(n_b), text=said, n=out.n + sum(n), links=out.links + b"".join(links))
-                a, b, ok = ends[at]
-                at += 1
+                if inner[4] or not inner[0]:  # the first unit ends in the range, so that whole groups follow it
+                    fine, said, n_a, n_b, n, links = inner
+                    out = out._replace(ok=out.ok and fine, n_a=out.n_a + n_a, n_b=out.n_b + n_b, text=";".join(x for x in (out.text, said) if x), n=out.n + n, links=out.links + links)
                 behind = None if hi is None else hi - len(text.encode()) + len(units[-1].encode())
-                last = fragment(a, b, self.pair, 0, behind, ok)
-                out = compose(out, last, self.pair.size_b)
+                out = compose(out, fragment(first[at], second[at], self.pair, 0, behind, ok[at]), self.pair.size_b)
+                at += 1
             yield out
 
 
@@ -267,8 +304,7 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
 
-def row_of(doc_id: int | None, whole: Fragment, size_b: int) -> tuple:
-    n_a, n_b, n, text, links = finished(whole, size_b)
+def row_of(doc_id: int | None, n_a: int, n_b: int, n: int, text: str, links: bytes) -> tuple:
     pairs, times = np.unique(np.frombuffer(links, np.int64), return_counts=True)
     return doc_id, n_a, n_b, n, hashlib.sha256(text.encode()).hexdigest() if n else "", planes(pairs), planes(times.astype(np.int32))
 
@@ -294,9 +330,8 @@ def whole_task(a_path: str, b_path: str):
         for batch in batches:
             for at, texts in runs_of(batch, "text"):
                 ids = batch.column("doc_id").slice(at, len(texts)).to_pylist()
-                some = [t for t in texts if t]
-                found = units.fragments(some, [(0, None)] * len(some))
-                rows = [row_of(i, next(found) if t else NOTHING, p.size_b) for i, t in zip(ids, texts, strict=True)]
+                found = units.runs([p.units(t) if t else [] for t in texts])
+                rows = [row_of(i, n_a, n_b, n, said, links) for i, (_, said, n_a, n_b, n, links) in zip(ids, found, strict=True)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
     return run
@@ -379,7 +414,8 @@ def finish_task(size_b: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                made = row_of(row["doc_id"], from_row(row), size_b)
+                n_a, n_b, n, text, links = finished(from_row(row), size_b)
+                made = row_of(row["doc_id"], n_a, n_b, n, text, links)
                 for _ in range(row["copies"]):
                     yield pa.record_batch([pa.array([c], f.type) for c, f in zip(made, ROWS, strict=True)], schema=ROWS)
 
