@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowsmith.operators import graph, ranking
 from rowsmith.sources.shared import written
 
 
@@ -56,23 +59,67 @@ def in_sequence(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) ->
     return df
 
 
-def in_order(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """Rows kept by one pass in the order of ``row_id`` (unique): a row goes if an earlier kept row has one of its keys.
+#: Rounds of local decisions, and memberships that a task passes over.
+ROUNDS, MOST = 2, 200_000
 
-    A row that goes registers none of its keys; null keys are no keys. Done in rounds over (key, row) memberships: a row
-    that comes first for all of its keys stays, and all that share a key with it go. What is left has only such rows
-    before it as are undecided too, so that the rounds give what the pass gives.
+
+def _pass_task(table: pa.Table) -> pa.Table:
+    """applyInArrow of the memberships (r, k) of whole components: the rows that one pass keeps."""
+    rows: dict[int, list[str]] = {}
+    for r, k in zip(table.column("r").to_pylist(), table.column("k").to_pylist(), strict=True):
+        rows.setdefault(r, []).append(k)
+    seen: set[str] = set()
+    kept = []
+    for r in sorted(rows):
+        if seen.isdisjoint(rows[r]):
+            kept.append(r)
+            seen.update(rows[r])
+    return pa.table({"r": pa.array(kept, pa.int64())})
+
+
+def in_order(df: DataFrame, keys: Sequence[str], row_id: str, rounds: int = ROUNDS, most: int = MOST) -> DataFrame:
+    """Rows kept by one pass in the order of ``row_id`` (unique, long): a row goes if an earlier kept row has one of its keys.
+
+    A row that goes registers none of its keys; null keys are no keys. First, in a few rounds over (key, row)
+    memberships, a row that comes first for all of its keys stays, and all that share a key with it go: keys of very many rows are
+    settled then. What is left falls into components of shared keys, as rows depend only on earlier ones of their own
+    component, and a task passes over each. Of a component of more than ``most`` memberships a task passes over the first
+    ``most``; what shares a key with those kept goes, and the rest falls into components again. So the rounds are bounded by
+    the logarithm of the longest chain and the largest component over ``most``.
     """
+    most = max(most, len(keys))
     pairs = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}/"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
-    open_ = written(df.select(F.col(row_id).alias("r"), F.explode(pairs).alias("k")), "memberships")
-    stay = df.filter(F.size(pairs) == 0).select(F.col(row_id).alias("r"))
-    while not open_.isEmpty():
-        first = open_.groupBy("k").agg(F.min("r").alias("m"))
-        kept = written(open_.join(first, "k").groupBy("r").agg(F.min(F.col("r") == F.col("m")).alias("keep")).filter("keep").select("r"), "kept")
+    open_ = written(df.select(F.col(row_id).cast("long").alias("r"), F.explode(pairs).alias("k")), "memberships")
+    stay = [df.filter(F.size(pairs) == 0).select(F.col(row_id).cast("long").alias("r"))]
+
+    def settle(open_: DataFrame, kept: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+        """What is still open: without rows that share a key with those kept, and without those passed over."""
         taken = open_.join(kept, "r", "left_semi").select("k").distinct()
-        gone = open_.join(taken, "k", "left_semi").select("r").distinct()
-        open_, stay = written(open_.join(gone, "r", "left_anti"), "memberships"), stay.union(kept)
-    return df.join(stay, F.col(row_id) == F.col("r"), "left_semi")
+        gone = open_.join(taken, "k", "left_semi").select("r")
+        gone = (gone.union(seen) if seen is not None else gone).distinct()
+        return written(open_.join(gone, "r", "left_anti"), "memberships")
+
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        first = open_.groupBy("k").agg(F.min("r").alias("m"))
+        stay.append(written(open_.join(first, "k").groupBy("r").agg(F.min(F.col("r") == F.col("m")).alias("keep")).filter("keep").select("r"), "kept"))
+        open_ = settle(open_, stay[-1])
+    while not open_.isEmpty():
+        tied = written(open_.join(graph.of_shared_keys(open_), "r"), "tied")
+        sizes = written(tied.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        small = tied.join(sizes.filter(F.col("n") <= most), "component", "left_semi").select(*tied.columns)
+        large = tied.join(sizes.filter(F.col("n") > most), "component", "left_semi")
+        turn = small
+        if not sizes.filter(F.col("n") > most).isEmpty():
+            last = ranking.numbered(large, "component", ["r", "k"]).filter(F.col("rn") == most + 1).select("component", F.col("r").alias("last"))
+            # Whole rows: that of the membership one too many waits.
+            turn = small.union(large.join(written(last, "last"), "component").filter("r < last").select(*tied.columns))
+        turn = written(turn, "turn")
+        stay.append(written(turn.groupBy(graph.bucket(turn, "component", most)).applyInArrow(_pass_task, "r long"), "kept"))
+        open_ = settle(open_, stay[-1], turn.select("r"))
+    kept = reduce(DataFrame.union, stay)
+    return df.join(kept, F.col(row_id) == F.col("r"), "left_semi")
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:
