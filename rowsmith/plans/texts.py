@@ -323,13 +323,13 @@ def overflow_map(t: Tables):
 
 @book.add("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_events(t: Tables):
-    """X11: events by day and type, the batch form of the stream."""
+    """Events by day and type."""
     w = resume.windowed_counts(t.events)
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @book.add("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0")
 def stream_resume(t: Tables):
-    """Rows that an earlier run has not processed."""
+    """Rows that an earlier run has not processed."""
     done = t.events.select((F.col("event_id") * 3).alias("event_id"))
     return resume.not_processed(t.events.select("event_id", "event_type"), done, "event_id")

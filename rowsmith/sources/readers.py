@@ -51,40 +51,97 @@ def normalised_header(names: Sequence[str]) -> list[str]:
     return out
 
 
-#: Encodings in the order in which they are tried; the last reads any bytes.
+#: Encodings that a file is tried under, in order; the last reads any bytes.
 ENCODINGS = ("UTF-8", "windows-1251", "ISO-8859-1")
+#: Letters beyond ASCII in one-byte encodings.
+_HIGH = "\u00c0-\u00ff"
 
 
 def allow(spark: SparkSession, encodings: Sequence[str]) -> None:
-    """Let the session read encodings beyond those of the standard."""
+    """Let the session decode encodings beyond those of the standard, and bytes that they lack."""
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
     if any(not e.upper().startswith(("UTF-", "ISO-8859-1", "US-ASCII")) for e in encodings):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
+def encodings_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """(file, encoding, valid_utf8, n_high, n_paired): how each file of ``path`` is to be read, and what that is judged by.
+
+    Each file is judged alone, by the lines of its first block. UTF-8 is taken if it is among ``encodings`` and no line breaks its
+    rules. Nearly any bytes are valid in one-byte encodings, so that between windows-1251 and a Latin one the letters
+    beyond ASCII decide: in Cyrillic words they stand side by side (``n_paired`` of ``n_high``, a half or more), in Latin
+    ones mostly alone. Else the first of ``encodings`` that is left.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).filter("start = 0")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    alone = f"(?<![{_HIGH}])[{_HIGH}](?![{_HIGH}])"
+    seen = lines.select("file", F.is_valid_utf8("value").alias("valid"), F.length(F.regexp_replace(latin, f"[^{_HIGH}]", "")).alias("high"), F.length(F.regexp_replace(latin, f"{alone}|[^{_HIGH}]", "")).alias("paired"))
+    seen = seen.groupBy("file").agg(F.min("valid").alias("valid_utf8"), F.sum("high").alias("n_high"), F.sum("paired").alias("n_paired"))
+    rest = [e for e in encodings if e.upper() != "UTF-8"] or ["UTF-8"]
+    cyrillic = [e for e in rest if e.lower() in ("windows-1251", "cp1251")]
+    latins = [e for e in rest if e not in cyrillic]
+    choice = F.lit(rest[0])
+    if cyrillic and latins:
+        choice = F.when(F.col("n_paired") * 2 >= F.greatest("n_high", F.lit(1)), cyrillic[0]).otherwise(latins[0])
+    if any(e.upper() == "UTF-8" for e in encodings):
+        choice = F.when(F.col("valid_utf8"), "UTF-8").otherwise(choice)
+    return seen.select("file", choice.alias("encoding"), "valid_utf8", "n_high", "n_paired")
+
+
 def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """The first of ``encodings`` under which no line of the files has a character that can't be read, else the last."""
-    allow(spark, encodings)
-    for name in encodings[:-1]:
-        lines = spark.read.option("encoding", name).option("sep", "\x01").option("quote", "").schema("line string").csv(path)
-        if lines.filter(F.col("line").contains("\ufffd")).isEmpty():
-            return name
-    return encodings[-1]
+    """The encoding of all files of ``path``; they must have one."""
+    found = sorted(r.encoding for r in encodings_of(spark, path, encodings).select("encoding").distinct().collect())
+    if len(found) != 1:
+        raise ValueError(f"{path} has files of several encodings: {found}")
+    return found[0]
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", columns: Sequence[str] | None = None, multi_line: bool = True, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, encoding: str | None = "UTF-8", columns: Sequence[str] | None = None, multi_line: bool = True, encodings: Sequence[str] = ENCODINGS, errors: str = "replace"
+) -> DataFrame:
     """A CSV with a header, all columns text; of ``columns`` those that it has, with a warning for the others.
 
-    Without an ``encoding`` the first of ``encodings`` that reads all of it is taken.
+    Without an ``encoding`` each file of ``path`` is read by its own, of ``encodings``: rows are split as bytes and decoded
+    in the JVM afterwards, so that files of several encodings are one table. Bytes that an encoding lacks become U+FFFD, or
+    go with ``errors="ignore"``.
     """
-    encoding = encoding or encoding_of(spark, path, encodings)
-    allow(spark, [encoding])
-    df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(path)
-    df = df.toDF(*normalised_header(df.columns))
-    if columns is None:
-        return df
-    if missing := [c for c in columns if c not in df.columns]:
+    if errors not in ("replace", "ignore"):
+        raise ValueError("errors is replace or ignore")
+    rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    if encoding:
+        allow(spark, [encoding])
+        df = rows.option("encoding", encoding).csv(path)
+        df = df.toDF(*normalised_header(df.columns))
+        decoded = lambda c: F.col(f"`{c}`")
+    else:
+        allow(spark, encodings)
+        judged = encodings_of(spark, path, encodings)
+        found = sorted({r.encoding for r in judged.select("encoding").distinct().collect()})
+        df = rows.option("encoding", "ISO-8859-1").csv(path)
+        first = next(e for e in [*found, "ISO-8859-1"] if _reads(df.columns, e))
+        names = normalised_header([n.encode("latin-1").decode(first, "replace") for n in df.columns])
+        bytes_of = df.select(*(F.encode(F.col(f"`{c}`"), "ISO-8859-1").alias(n) for c, n in zip(df.columns, names, strict=True)), F.col("_metadata.file_path").alias("__file"))
+        df = bytes_of.join(judged.select(F.col("file").alias("__file"), F.col("encoding").alias("__encoding")), "__file")
+
+        def decoded(c: str):
+            as_ = lambda e: F.make_valid_utf8(F.col(f"`{c}`").cast("string")) if e == "UTF-8" else F.decode(F.col(f"`{c}`"), e)
+            out = as_(found[-1])
+            for e in found[:-1]:
+                out = F.when(F.col("__encoding") == e, as_(e)).otherwise(out)
+            return out
+
+    clean = lambda c: (F.replace(decoded(c), F.lit("\ufffd"), F.lit("")) if errors == "ignore" else decoded(c)).alias(c)
+    names = [c for c in df.columns if not c.startswith("__")]
+    if missing := [c for c in columns or () if c not in names]:
         warnings.warn(f"{path} has no columns {missing}", stacklevel=2)
-    return df.select(*(c for c in columns if c in df.columns))
+    return df.select(*(clean(c) for c in (names if columns is None else [c for c in columns if c in names])))
+
+
+def _reads(names: Sequence[str], encoding: str) -> bool:
+    try:
+        return bool([n.encode("latin-1").decode(encoding) for n in names])
+    except UnicodeDecodeError:
+        return False
 
 
 def read_headerless(spark: SparkSession, path: str, rows: int = 10, least: int = 6) -> DataFrame:
