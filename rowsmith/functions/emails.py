@@ -279,3 +279,20 @@ def first_name(email: Column) -> Column:
     role = reduce(lambda a, w: a | name.contains(w), ROLE_WORDS, F.lit(False))
     guess = F.when(name.contains(".") & part(".").rlike("^[a-z]{2,12}$"), part(".")).when(name.contains("_") & part("_").rlike("^[a-z]{2,12}$"), part("_")).when(name.rlike("^[a-z]{3,10}$"), name)
     return F.when(~role, F.initcap(guess))
+
+
+@F.udtf(returnType="email string, scrape_status string, error_message string")
+class PageRows:
+    """A table function over (website, page): a row for each address that the page has, or one row that says why there is none."""
+
+    def eval(self, website: str, page: str):
+        import re
+
+        if not (website or "").strip():
+            yield "", "failed", "No website provided"
+            return
+        found = sorted({x.lower() for x in re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", page or "")})
+        for email in found:
+            yield email, "success", ""
+        if not found:
+            yield "", "failed", "no_email_found_static"

@@ -223,3 +223,18 @@ def own_website(text: Column, name: Column, excluded=SOCIAL) -> Column:
     words = F.filter(F.split(F.replace(F.lower(name), F.lit("&"), F.lit("")), r"\s+"), lambda w: F.length(w) > 3)
     named = F.filter(found, lambda d: ~_has(d, ("directory", "listing", "review", "find")) & F.exists(words, lambda w: d.contains(w)))
     return F.concat(F.lit("https://"), F.coalesce(F.get(named, F.lit(0)), F.get(found, F.lit(0))))
+
+
+def sitemap(xml: Column) -> Column:
+    """(maps, pages): the maps that an index file names, or the pages of a map; of any name space or none, empty for what is no XML."""
+    held = F.from_xml(xml, "sitemap array<struct<loc: string>>, url array<struct<loc: string>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    maps = some(held["sitemap"]["loc"])
+    return F.struct(maps.alias("maps"), F.when(F.size(maps) == 0, some(held["url"]["loc"])).otherwise(F.array().cast("array<string>")).alias("pages"))
+
+
+def bare_domain(url: Column) -> Column:
+    """The host in lower case, without port and without "www." anywhere; a scheme is added where there is none. Blank has none."""
+    low = F.lower(F.trim(url))
+    full = F.when(low.rlike("^https?://"), low).otherwise(F.concat(F.lit("https://"), low))
+    return F.when(low != "", F.replace(F.regexp_extract(full, "^https?://([^/:?#]*)", 1), F.lit("www."), F.lit("")))

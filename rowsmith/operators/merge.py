@@ -93,3 +93,14 @@ def changes(before: DataFrame, after: DataFrame, key: str, status: str) -> DataF
     b = after.select(F.col(key).alias("__key"), F.col(status).alias("status_after"))
     joined = before.select(F.col(key), F.col(status).alias("status_before")).join(b, F.col(key) == F.col("__key"))
     return joined.filter("status_before <> status_after").groupBy("status_before", "status_after").agg(F.count("*").alias("n"))
+
+
+def not_in(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is NOT IN ``listed``, as SQL has it: where the list is empty all rows; else none with a null key, and none at all where the list has a null.
+
+    An anti join by the key and one row of facts about the list, so that the list may be of any size.
+    """
+    facts = listed.agg(F.count("*").alias("__n"), F.count_if(F.col(key).isNull()).alias("__nulls"))  # one row
+    kept = df.join(listed.select(F.col(key).alias("__key")).filter("__key is not null").distinct(), F.col(key) == F.col("__key"), "left_anti")
+    fine = (F.col("__n") == 0) | (F.col("__nulls") == 0) & F.col(key).isNotNull()
+    return kept.join(F.broadcast(facts)).filter(fine).select(*df.columns)

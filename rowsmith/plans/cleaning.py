@@ -79,8 +79,8 @@ def _brutal() -> str:
     s.cut(c.BRUTAL_TECHNICAL, "", "(?i)")
     s.cut(c.BRUTAL_PHRASES, "", "(?i)")
     s.cut(c.BRUTAL_CODES, "")
-    # Without back references: each printable ASCII character by itself.
-    s.cut(("|".join(rf"\x{k:02X}{{4,}}" for k in (9, 13, *range(32, 127))),), "")
+    # Without back references: each printable character of the Latin blocks by itself.
+    s.cut(("|".join(rf"\x{{{k:X}}}{{4,}}" for k in (9, 13, *range(32, 127), *range(161, 384))),), "")
     s.words(f"regexp_replace(lower(w), {_text(f'[^{c.WORD}]')}, '', 'g') NOT IN ({', '.join(map(_text, c.BRUTAL_WORDS))})")
     s.tidied(c.BRUTAL_LAST)
     return f"WITH {SRC}, {', '.join(s.ctes)} SELECT page_id, t AS text FROM {s.name}"
