@@ -300,6 +300,13 @@ def cosine_topk_each(t: Tables):
     return _each_of_50(t)
 
 
+@book.add(f"{_EACH} SELECT query_id, vec_id, label, similarity FROM k")
+def cosine_topk_pruned(t: Tables):
+    """The vectors most like each one whose id is divisible by 50, without the blocks that can't hold one."""
+    found = similarity.most_similar_pruned(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), 20)
+    return found.join(t.embeddings.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
+
+
 @book.add(f"{_EACH} SELECT query_id, label, count(*) AS n, max(similarity) AS best, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM k GROUP BY 1, 2")
 def cosine_group_each(t: Tables):
     """The best vectors of each query by label."""

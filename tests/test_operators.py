@@ -161,3 +161,26 @@ def test_one_pass_over_several_keys(spark):
             want.append(i)
     got = dedupe.in_order(frame(spark, "id int, a string, b int, c string", *data).repartition(3), ["a", "b", "c"], "id")
     assert sorted(r.id for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_pruned_search_finds_the_same(spark, monkeypatch, spread):
+    """Clusters that pruning parts, and a cloud that it can't; ties, repeats, zero, null and other lengths among them."""
+    import random
+
+    monkeypatch.setattr(similarity, "PIVOTS", 12)
+    monkeypatch.setattr(similarity, "QUERIES", 5)
+    monkeypatch.setattr(similarity, "VECTORS", 17)
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
+    vectors = [(i, [c + spread * rng.gauss(0, 1) for c in centres[i % 8]]) for i in range(240)]
+    vectors += [(300 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(9)] + [(400, [0.0] * 6), (404, None), (408, [1.0, None] + [0.0] * 4), (412, [1.0, 2.0]), (413, [2.0, 4.0]), (416, []), (420, [float("nan")] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    queries = df.filter("vec_id % 4 = 0")
+    want = rows(similarity.most_similar_each(df, queries, 5).select("query_id", "rn", "vec_id", "similarity"))
+    assert rows(similarity.most_similar_pruned(df, queries, 5).select("query_id", "rn", "vec_id", "similarity")) == want
+    _, met, blocks = similarity.scan_plan(df, queries, 5)
+    share = similarity.share_met(met, blocks, queries.count()).head().share
+    assert share < 0.4 if spread < 1 else share <= 1
+    none = df.filter("false")
+    assert similarity.most_similar_pruned(none, none, 5).collect() == []
