@@ -14,31 +14,37 @@ from rowsmith.operators import graph, ranking
 from rowsmith.sources.shared import written
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], drop_null_keys: bool = False) -> DataFrame:
-    """The row of each key that comes first by ``order_by``; nulls are last. Null keys are one group unless dropped.
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], drop_null_keys: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """The row of each key that comes first by ``order_by``, or some ``columns`` of it; nulls are last. Null keys are one group unless dropped.
 
     An aggregate with a map-side part, not a window: a key with very many rows is reduced before the shuffle.
     """
-    return _pick(df, keys, order_by, F.min_by, drop_null_keys)
+    return _pick(df, keys, order_by, F.min_by, drop_null_keys, columns)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], drop_null_keys: bool = False) -> DataFrame:
     """The row of each key that comes last by ``order_by``; nulls are first."""
-    return _pick(df, keys, order_by, F.max_by, drop_null_keys)
+    return _pick(df, keys, order_by, F.max_by, drop_null_keys, None)
 
 
-def _pick(df, keys, order_by, by, drop_null_keys):
+def _pick(df, keys, order_by, by, drop_null_keys, columns):
     df = df.na.drop(subset=list(keys)) if drop_null_keys else df
     null_side = [x for c in order_by for x in ((F.col(c).isNull() if by is F.min_by else F.col(c).isNotNull()), F.col(c))]
     ranks = F.struct(*(x.alias(f"o{i}") for i, x in enumerate(null_side)))
-    row = by(F.struct(*df.columns), ranks).alias("__row")
+    row = by(F.struct(*(columns or df.columns)), ranks).alias("__row")
     return df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(row).select("__row.*")
 
 
-def with_provenance(df: DataFrame, key: str, sources: dict[str, str], separator: str = ", ") -> DataFrame:
-    """One row for each key with its number of rows and, for each source column, its distinct values sorted and joined."""
+def with_provenance(df: DataFrame, key: str, sources: dict[str, str], separator: str = ", ", hashed: bool = False) -> DataFrame:
+    """One row for each key with its number of rows and, for each source column, its distinct values sorted and joined.
+
+    With ``hashed``, for keys that are long texts, rows are grouped by 128 bits of the key.
+    """
     joined = [F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), separator).alias(name) for c, name in sources.items()]
-    return df.groupBy(key).agg(F.count("*").alias("n_rows"), *joined)
+    if not hashed:
+        return df.groupBy(key).agg(F.count("*").alias("n_rows"), *joined)
+    by = df.groupBy(F.md5(F.col(key).cast("binary")).alias("__hash")).agg(F.first(key).alias(key), F.count("*").alias("n_rows"), *joined)
+    return by.drop("__hash")
 
 
 def first_nonnull(df: DataFrame, key: str, columns: Sequence[str], order_by: Sequence) -> DataFrame:

@@ -292,7 +292,7 @@ _failure = "CASE WHEN contains(m, 'no_email_found_static') THEN 'no_email_found_
 
 @book.add(f"WITH r AS (SELECT c_custkey, coalesce({ERROR}, '') AS m FROM customer) SELECT {_failure} AS reason, count(*) AS n, count_if(c_custkey % 3 = 0) AS n_retried FROM r GROUP BY 1")
 def failure_reasons(t: Tables):
-    """Failures by kind, and how many were tried again."""
+    """Failures by kind, and how many were tried again."""
     r = written(t, m=ERROR)
     return r.groupBy(html.failure(F.col("m")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey") % 3 == 0).alias("n_retried"))
 
@@ -306,7 +306,7 @@ _dense = r"regexp_replace(coalesce(s, ''), '\{[^{}]*\}|\b[0-9a-f]{16,}\b|functio
 WITH r AS (SELECT c_custkey, {SAYS} AS s FROM customer), w AS (SELECT c_custkey, {_words("coalesce(s, '')")} AS p, list_filter({_words(_dense)}, lambda w: length(w) <= 20) AS d FROM r)
 SELECT c_custkey, coalesce(list_aggregate(p, 'string_agg', ' '), '') AS plain, coalesce(list_aggregate(list_filter(d, lambda w, i: i = 1 OR w <> d[i - 1]), 'string_agg', ' '), '') AS dense FROM w""")
 def clean_words(t: Tables):
-    """H2 H3 H4: a text's words without markup and noise, and without code, hashes and repeats."""
+    """H4: a text's words without markup and noise, and without code, hashes and repeats."""
     s = F.col("s")
     return written(t, s=SAYS).select("c_custkey", html.plain_words(s).alias("plain"), html.dense_words(s).alias("dense"))
 
@@ -477,7 +477,7 @@ def reading_method(t: Tables):
 WITH d AS (SELECT DISTINCT regexp_extract(lower(trim(url)), '^(?:https?://)?([^/?#:]+)', 1) AS host FROM pages)
 SELECT host, unnest(['https://' || host || '/sitemap.xml', 'https://' || host || '/a']) AS location, 'https://' || host || '/sitemap.xml' AS from_robots FROM d""")
 def sitemaps(t: Tables):
-    """Locations in a sitemap, and the sitemap that a robots file names."""
+    """Locations in a sitemap, and the sitemap that a robots file names."""
     d = t.pages.select(urls.host(F.col("url")).alias("host")).distinct()
     root = F.concat(F.lit("https://"), "host")
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://x"><url><loc> '), root, F.lit("/sitemap.xml </loc></url><url><s:loc>"), root, F.lit("/a</s:loc></url></urlset>"))

@@ -55,13 +55,13 @@ SELECT id FROM step WHERE id IS NOT NULL"""
 
 @book.add(f"WITH RECURSIVE {LEADS}, {_greedy.format(keys="'p' || phone, 'w' || website")}")
 def dedupe_two_keys(t: Tables):
-    """One pass over rows that drops what shares a phone or a website with an earlier kept row."""
+    """One pass over rows that drops what shares a phone or a website with an earlier kept row."""
     return dedupe.in_order(leads(t, "id", "phone", "website"), ["phone", "website"], "id").select("id")
 
 
 @book.add(f"WITH RECURSIVE {LEADS}, {_greedy.format(keys="'p' || phone, 'w' || website, 'e' || nullif(lower(trim(email)), '')")}")
 def dedupe_three_keys(t: Tables):
-    """As with two keys, and the e-mail as a third."""
+    """As with two keys, and the e-mail as a third."""
     r = leads(t, "id", "phone", "website", "email").withColumn("email", urls.key(F.col("email")))
     return dedupe.in_order(r, ["phone", "website", "email"], "id").select("id")
 
@@ -201,7 +201,7 @@ f AS (SELECT key, field, arg_max(value, ord) AS value FROM every WHERE field IS
 x AS (SELECT key, string_agg(field || '=' || value, ',' ORDER BY field) AS extra FROM f GROUP BY 1)
 SELECT key, email, phone, label, n_merged, coalesce(extra, '') AS extra, CASE WHEN n_merged > 0 AND starts_with(key, 'old') THEN 'base,import' WHEN n_merged > 0 THEN 'import' ELSE 'base' END AS sources FROM texts LEFT JOIN x USING (key)""")
 def upsert_two_keys(t: Tables):
-    """A row merges into the one with its e-mail, else with its phone, or is new; longer texts win, maps unite, sources add up."""
+    """A row of a batch whose rows don't meet merges into the one with its e-mail, else with its phone, or is new; longer texts win, maps unite, sources add up."""
     base = t.customer.select("c_custkey", *(F.expr(e).alias(n) for n, e in {"email": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'u' || c_custkey || '@x.com' END", "phone": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'p' || c_custkey END"}.items()), F.col("c_name").alias("label")).withColumnRenamed("c_custkey", "id")
     new = t.customer.select(
         F.col("c_custkey").alias("ord"),
@@ -334,7 +334,7 @@ SELECT id, CASE {" ".join(f"WHEN contains(k, '{w}') THEN '{n}'" for w, n in NICH
   CASE WHEN people >= 1000000 THEN 'tier1' WHEN people >= 250000 THEN 'tier2' ELSE 'tier3' END AS tier, CASE WHEN size >= 500 THEN 'red' WHEN size >= 100 THEN 'orange' WHEN size >= 20 THEN 'blue' ELSE 'gray' END AS colour,
   CASE WHEN industry IS NOT NULL AND size > 50 THEN 'full' WHEN industry IS NOT NULL THEN 'industry' ELSE 'plain' END AS template FROM k""")
 def lead_classes(t: Tables):
-    """Niche, industry class, size and seniority, city tier, marker colour and template."""
+    """Niche by keyword and size of a company; classes by made-up cuts beside them."""
     k = t.customer.select(F.col("c_custkey").alias("id"), F.lower(F.expr(KEYWORD)).alias("k"), F.expr(INDUSTRY).alias("industry"), F.expr("c_custkey % 700").alias("size"), F.expr("c_custkey * 1000").alias("people"), F.expr("c_custkey % 4").alias("rank"))
     niche = F.replace("k", F.lit(" "), F.lit("_"))
     for w, n in reversed(NICHES.items()):
@@ -541,7 +541,7 @@ def alternate_totals(t: Tables):
 WITH s AS (SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(ts) AS last FROM events GROUP BY 1)
 SELECT event_type, n, mean, last AS last_run, n = max(n) OVER () AS most_used FROM s""")
 def script_usage(t: Tables):
-    """Runs of each script with their mean, the last one, and which is used most."""
+    """Runs of each script with their mean, the last one, and which is used most."""
     s = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("ts").alias("last_run"))
     most = s.agg(F.max("n").alias("most"))  # one row
     return s.join(F.broadcast(most)).select("event_type", "n", "mean", "last_run", (F.col("n") == F.col("most")).alias("most_used"))
@@ -550,7 +550,7 @@ def script_usage(t: Tables):
 @book.add("""
 SELECT event_type, to_json({'total': count(*), 'values': {'high': count_if(value >= 50), 'low': count_if(value < 50)}, 'users': count(DISTINCT user_id)})::VARCHAR AS report FROM events GROUP BY 1""")
 def nested_report(t: Tables):
-    """A nested report of each kind as JSON."""
+    """A nested report of each kind as JSON."""
     users = t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("*").alias("users"))
     r = t.events.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 50).alias("high"), F.count_if(F.col("value") < 50).alias("low")).join(users, "event_type")
     return r.select("event_type", F.to_json(F.struct("total", F.struct("high", "low").alias("values"), "users")).alias("report"))
@@ -612,7 +612,7 @@ def mapped_back(t: Tables):
 
 @book.add("SELECT event_type, count(*) AS items, round(CASE event_type WHEN 'view' THEN 0.05 WHEN 'click' THEN 0.5 ELSE 3.0 END * count(*) * 25 / 50, 4)::DOUBLE AS seconds, round(count(*) / greatest(date_diff('day', min(ts), max(ts)), 1)::DOUBLE, 4) AS per_day FROM events GROUP BY 1")
 def time_estimates(t: Tables):
-    """M6 M7: seconds that items of a kind take with fifty workers, and how many come each day."""
+    """M6: seconds that items of a kind take with fifty workers, and how many come each day."""
     each = F.when(F.col("event_type") == "view", d(0.05)).when(F.col("event_type") == "click", d(0.5)).otherwise(d(3.0))
     g = t.events.groupBy("event_type").agg(F.count("*").alias("items"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     days = F.greatest(F.datediff(F.to_date("b"), F.to_date("a")), F.lit(1))
@@ -623,7 +623,7 @@ def time_estimates(t: Tables):
 WITH t AS (SELECT c_nationkey AS tier, count(*) * 10 AS cost FROM customer GROUP BY 1), r AS (SELECT tier, cost, sum(cost) OVER (ORDER BY tier) - cost AS before, (SELECT sum(cost) FROM t) // 2 AS budget FROM t)
 SELECT tier, cost, CAST(greatest(0, least(cost, budget - before)) AS BIGINT) AS allocated FROM r""")
 def budget_allocation(t: Tables):
-    """M5: a budget of half the cost given to tiers in order until it is used up."""
+    """A budget of half the cost given to tiers in order until it is used up, the last one in part."""
     tiers = t.customer.groupBy(F.col("c_nationkey").alias("tier")).agg((F.count("*") * 10).alias("cost"))
     budget = tiers.agg(F.expr("sum(cost) div 2").alias("budget"))  # one row
     before = F.sum("cost").over(W.orderBy("tier").rowsBetween(W.unboundedPreceding, -1))  # tiers, few of them
@@ -634,8 +634,7 @@ def budget_allocation(t: Tables):
 @book.add("SELECT n_name, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def sql_over_files(t: Tables):
     """SQL over files by path and over a registered table."""
-    t.nation.createOrReplaceTempView("rowsmith_nation")
-    return t.spark.sql(f"SELECT n_name, count(*) AS n FROM rowsmith_nation JOIN parquet.`{t.sf_dir}/customer.parquet` ON n_nationkey = c_nationkey GROUP BY 1")
+    return t.spark.sql(f"SELECT n_name, count(*) AS n FROM {{nation}} JOIN parquet.`{t.sf_dir}/customer.parquet` ON n_nationkey = c_nationkey GROUP BY 1", nation=t.nation)
 
 
 @book.add(f"WITH {LEADS} SELECT id, replace(replace(replace(name, chr(7), ''), chr(10), ' '), chr(13), ' ')[1:50000] AS cell FROM (SELECT id, chr(7) || name || chr(10) || 'x' AS name, email FROM l) WHERE NOT {_blank('email')}")

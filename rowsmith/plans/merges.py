@@ -77,7 +77,7 @@ def merge_outer(t: Tables):
 @book.add("""
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'known' END, n_name) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def lookup_backfill(t: Tables):
-    """Missing values from two lookups in a row."""
+    """Missing values from two lookups in a row."""
     o = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "known").alias("place"))
     o = merge.lookup(o.withColumn("c_custkey", F.col("o_custkey")), t.customer, "c_custkey", "c_nationkey", "nation")
     named = merge.lookup(o.withColumn("n_nationkey", F.col("nation")), t.nation, "n_nationkey", "n_name", "place")
@@ -97,7 +97,7 @@ def upsert_longer_wins(t: Tables):
 @book.add("""
 SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAYS)""")
 def not_contacted_recently(t: Tables):
-    """Customers without an order in the last 30 days of the data."""
+    """Customers without an order in the last 30 days of the data."""
     end = t.orders.agg(F.max("o_orderdate").alias("end"))
     recent = t.orders.filter(F.col("o_orderdate") > end.scalar() - F.expr("INTERVAL 30 DAYS"))
     return t.customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
@@ -139,7 +139,7 @@ def run_changes(t: Tables):
 def cross_grid(t: Tables):
     """Every region with every segment; both are short lists of names."""
     segments = t.customer.select(F.col("c_mktsegment").alias("segment")).distinct()
-    return t.region.join(F.broadcast(segments)).select("r_name", "segment", F.concat_ws(" ", "r_name", "segment").alias("search"))
+    return t.region.join(segments).select("r_name", "segment", F.concat_ws(" ", "r_name", "segment").alias("search"))
 
 
 LINE_ORDER = ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -148,8 +148,8 @@ LINE_ORDER = ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quan
 @book.add(f"""
 SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem) WHERE rn = 1""")
 def dedupe_first(t: Tables):
-    """The first row of a composite key."""
-    return dedupe.keep_first(t.lineitem, ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    """The first row of a composite key."""
+    return dedupe.keep_first(t.lineitem, ["l_orderkey", "l_linenumber"], LINE_ORDER, columns=["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"])
 
 
 @book.add(f"""
@@ -167,8 +167,8 @@ def dedupe_composite(t: Tables):
 
 @book.add("SELECT text, count(*) AS n_rows, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS langs FROM documents GROUP BY text")
 def dedupe_provenance(t: Tables):
-    """One row for each text with where it came from."""
-    return dedupe.with_provenance(t.documents, "text", {"source": "sources", "lang": "langs"})
+    """One row for each text with where it came from."""
+    return dedupe.with_provenance(t.documents, "text", {"source": "sources", "lang": "langs"}, hashed=True)
 
 
 @book.add("""
@@ -199,7 +199,7 @@ def top_bottom_k(t: Tables):
 @book.add("""
 SELECT c_nationkey, c_custkey, c_acctbal, rn FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 3""")
 def topn_per_group(t: Tables):
-    """The best three of each group."""
+    """The best three of each group."""
     return ranking.top_per_group(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
 
 
@@ -212,7 +212,7 @@ def halves(t: Tables):
 
 @book.add("""SELECT c_custkey, CAST(floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) / 25) AS BIGINT) AS batch FROM customer""")
 def batches(t: Tables):
-    """Batches of twenty-five."""
+    """Batches of twenty-five."""
     return ranking.batches(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"], 25).select("c_custkey", "batch")
 
 
@@ -228,7 +228,7 @@ CELL = "concat(c_mktsegment, ', ', CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE
 
 @book.add(f"SELECT c_custkey, trim(part) AS part FROM (SELECT c_custkey, unnest(regexp_split_to_array({CELL}, '[,;]\\s*')) AS part FROM customer) WHERE trim(part) <> ''")
 def explode_list(t: Tables):
-    """A row for each part of a cell."""
+    """A row for each part of a cell."""
     return reshape.explode_list(t.customer.select("c_custkey", F.expr(CELL).alias("cell")), "cell", "part").select("c_custkey", "part")
 
 

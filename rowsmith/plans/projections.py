@@ -77,7 +77,7 @@ def durations(t: Tables):
 @book.add("""
 SELECT event_type, round(count(*) * 0.001::DOUBLE, 4) AS cost, CASE WHEN count(*) > 0 THEN round(count_if(value > 50) * 100.0::DOUBLE / count(*), 2) ELSE 0 END AS yield_pct, CAST(ceil(count(*) / 25.0::DOUBLE) AS BIGINT) AS batches FROM events GROUP BY 1""")
 def cost_model(t: Tables):
-    """Cost, yield with a guard for nothing, and batches."""
+    """Fixture: cost, yield with a guard for nothing, and batches."""
     n = F.count("*")
     return t.events.groupBy("event_type").agg(F.round(n * F.lit(0.001).cast("double"), 4).alias("cost"), rules.percent(F.count_if(F.col("value") > 50), n).alias("yield_pct"), F.ceil(n / 25).cast("long").alias("batches"))
 
@@ -88,7 +88,7 @@ _host = "regexp_replace(regexp_extract(lower(trim(url)), '^(?:https?://)?([^/?#:
 @book.add(f"""
 SELECT page_id, unnest(['contact', 'about', 'team', 'impressum']) AS page, 'https://' || {_host} || '/' || unnest(['contact', 'about', 'team', 'impressum']) AS candidate FROM pages""")
 def page_expansion(t: Tables):
-    """Pages of a site that may name a contact."""
+    """Fixture: pages of a site that may name a contact."""
     paths = F.explode(F.array(*map(F.lit, ("contact", "about", "team", "impressum"))))
     return t.pages.select("page_id", urls.domain(F.col("url")).alias("d"), paths.alias("page")).select("page_id", "page", F.concat(F.lit("https://"), "d", F.lit("/"), "page").alias("candidate"))
 
@@ -96,7 +96,7 @@ def page_expansion(t: Tables):
 @book.add(f"""
 WITH d AS (SELECT DISTINCT {_host} AS domain FROM pages) SELECT domain, p || '@' || domain AS email, regexp_extract(split_part(domain, '.', 1), '[a-z]+') AS word FROM d, (SELECT unnest(['info', 'contact', 'hello']) AS p)""")
 def address_patterns(t: Tables):
-    """Usual addresses at each domain."""
+    """Fixture: usual addresses at each domain."""
     d = t.pages.select(urls.domain(F.col("url")).alias("domain")).distinct()
     full = d.select("domain", F.explode(F.array(*map(F.lit, ("info", "contact", "hello")))).alias("p")).select("domain", F.concat("p", F.lit("@"), "domain").alias("email"))
     return full.select("domain", "email", F.regexp_extract(F.substring_index(emails.domain(F.col("email")), ".", 1), "[a-z]+", 0).alias("word"))
@@ -106,7 +106,7 @@ def address_patterns(t: Tables):
 WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)href=["'']([^"'']+)', 1) AS links FROM pages)
 SELECT page_id, len(list_distinct(list_filter(links, lambda x: NOT list_contains(['/the', '/and'], lower(x)) AND NOT regexp_matches(lower(x), '^(#|javascript:|mailto:)')))) AS n_new FROM l""")
 def link_difference(t: Tables):
-    """Links that are not known yet."""
+    """Fixture: links that are not known yet."""
     seen = F.array(*map(F.lit, ("/the", "/and")))
     return t.pages.select("page_id", F.size(F.filter(urls.links(F.col("html")), lambda x: ~F.array_contains(seen, F.lower(x)))).cast("long").alias("n_new"))
 
@@ -118,7 +118,7 @@ _tags = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {quoted(w)})'
 @book.add(f"""
 WITH g AS (SELECT doc_id, list_filter([{_tags}], lambda x: x IS NOT NULL) AS tags FROM documents) SELECT doc_id, coalesce(tags[1], 'other') AS industry, coalesce(list_aggregate(tags, 'string_agg', ','), '') AS tags FROM g""")
 def keyword_tags(t: Tables):
-    """The first group of words found, and all of them."""
+    """Fixture: the first group of words found, and all of them."""
     low = F.lower("text")
     tags = F.array_compact(F.array(*(F.when(html.any_of(low, ws), k) for k, ws in WORDS.items())))
     return t.documents.select("doc_id", tags.alias("g")).select("doc_id", F.coalesce(F.get("g", F.lit(0)), F.lit("other")).alias("industry"), F.array_join("g", ",").alias("tags"))
@@ -127,13 +127,13 @@ def keyword_tags(t: Tables):
 @book.add("""
 SELECT c_custkey, to_json({'email': lower(c_mktsegment) || '@x.com', 'name': c_name}) AS payload FROM customer""")
 def upload_payload(t: Tables):
-    """An upload record as JSON."""
+    """Fixture: an upload record as JSON."""
     return t.customer.select("c_custkey", F.to_json(F.struct(F.concat(F.lower("c_mktsegment"), F.lit("@x.com")).alias("email"), F.col("c_name").alias("name"))).alias("payload"))
 
 
 @book.add("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'Supplier ' || s_suppkey END AS label, 'seen' AS mark FROM supplier")
 def workflow_steps(t: Tables):
-    """D-U1 D-U2 D-U4: named steps that fill what is missing."""
+    """D-U1 D-U2: named steps that fill what is missing."""
     w = Workflow()
     w.fill("label", "s_suppkey", "label", lambda c: F.concat(F.lit("Supplier "), c.cast("string")))
     w.step("mark")(lambda df: df.withColumn("mark", F.lit("seen")))
@@ -143,7 +143,7 @@ def workflow_steps(t: Tables):
 
 @book.add("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def point_layer(t: Tables):
-    """Weights by place."""
+    """Fixture: weights by place."""
     j = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("weight"))
 

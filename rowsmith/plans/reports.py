@@ -158,7 +158,7 @@ WITH p AS (SELECT p_brand, p_size % 6 AS rating, p_retailprice / 20 AS reviews F
 SELECT p_brand, count(*) AS n, round(avg(rating), 4) AS avg_rating, round(count_if(rating >= 4) * 100.0::DOUBLE / count(*), 1) AS high_pct,
   round(avg(rating) / 5.0::DOUBLE * 40 + least(avg(reviews), 100.0::DOUBLE) / 100.0::DOUBLE * 30 + count_if(rating >= 4) * 30.0::DOUBLE / count(*), 1) AS quality_score FROM p GROUP BY 1""")
 def keyword_quality(t: Tables):
-    """Rating, capped reviews and the share of high ratings as one score."""
+    """Rating, capped reviews and the share of high ratings as one score."""
     p = t.part.select("p_brand", (F.col("p_size") % 6).alias("rating"), (F.col("p_retailprice") / 20).alias("reviews"))
     high, n = F.count_if(F.col("rating") >= 4), F.count("*")
     d = lambda x: F.lit(x).cast("double")
@@ -219,7 +219,7 @@ def transition_matrix(t: Tables):
 @book.add("""
 SELECT coalesce(c_mktsegment, 'TOTAL') AS segment, count(*) AS n, count_if(c_acctbal >= 0) AS usable FROM customer GROUP BY ROLLUP (c_mktsegment)""")
 def usable_rollup(t: Tables):
-    """Groups and their total."""
+    """Groups and their total."""
     return t.customer.rollup("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") >= 0).alias("usable")).select(F.coalesce("c_mktsegment", F.lit("TOTAL")).alias("segment"), "n", "usable")
 
 
@@ -235,7 +235,7 @@ def daily_with_global_row(t: Tables):
 WITH r AS (SELECT user_id, value, CASE WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'middle' ELSE 'low' END AS band FROM events)
 SELECT band, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 3) AS mean FROM r GROUP BY 1""")
 def relevance_bands(t: Tables):
-    """Bands of a score."""
+    """Bands of a score."""
     v = F.col("value")
     return t.events.groupBy(F.when(v >= 70, "high").when(v >= 40, "middle").otherwise("low").alias("band")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 3).alias("mean"))
 
@@ -243,7 +243,7 @@ def relevance_bands(t: Tables):
 @book.add("""
 SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN p_type LIKE '%OM%' THEN 'om' END, CASE WHEN p_type LIKE 'S%' THEN 's' END, CASE WHEN p_size > 25 THEN 'large' END, CASE WHEN p_retailprice > 950 THEN 'dear' END], lambda x: x IS NOT NULL)) AS kind FROM part) GROUP BY 1""")
 def multi_label_counts(t: Tables):
-    """Rows that may count for several labels."""
+    """Rows that may count for several labels."""
     labels = F.array_compact(F.array(F.when(F.col("p_type").contains("OM"), "om"), F.when(F.col("p_type").startswith("S"), "s"), F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 950, "dear")))
     return t.part.select(F.explode(labels).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -333,3 +333,14 @@ SELECT c_custkey, CASE WHEN low <> '' THEN replace(regexp_extract(full_url, '^ht
 def bare_domains(t: Tables):
     """L1: the bare domain of an address: a scheme added where there is none, "www." dropped wherever it stands, no port, no path."""
     return t.customer.select("c_custkey", urls.bare_domain(F.expr(WEB)).alias("domain"))
+
+
+@book.add("""
+SELECT user_id, count_if(event_type <> 'error') AS successful, count_if(event_type <> 'error' AND value > 50) AS covered, round(count_if(event_type <> 'error' AND value > 50) * 100.0::DOUBLE / greatest(count_if(event_type <> 'error'), 1), 2) AS coverage_pct,
+  CASE WHEN count_if(event_type = 'signup') > 0 THEN round(count_if(event_type = 'signup' AND value > 50) * 100.0::DOUBLE / count_if(event_type = 'signup'), 2) ELSE 0 END AS signup_pct FROM events GROUP BY 1""")
+def coverage_of_successes(t: Tables):
+    """The share of successes that have something, by either guard against none: a divisor of one, or zero."""
+    ok, some, signup = F.col("event_type") != "error", F.col("value") > 50, F.col("event_type") == "signup"
+    n, m, s = F.count_if(ok), F.count_if(ok & some), F.count_if(signup)
+    share = F.round(m * d(100.0) / F.greatest(n, F.lit(1)), 2)
+    return t.events.groupBy("user_id").agg(n.alias("successful"), m.alias("covered"), share.alias("coverage_pct"), F.when(s > 0, F.round(F.count_if(signup & some) * d(100.0) / s, 2)).otherwise(d(0.0)).alias("signup_pct"))

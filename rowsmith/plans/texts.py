@@ -223,7 +223,7 @@ SELECT p_partkey, CASE WHEN contains(n, 'ring') THEN false WHEN contains(n, 'wid
   CASE WHEN contains(n, 'ring') THEN 'excluded_name_keyword: ring' WHEN contains(n, 'widget') THEN 'included_name_keyword: widget' WHEN k = 'PROMO' THEN 'excluded_type: PROMO' WHEN k IN ('ECONOMY', 'LARGE') AND p_size < 20 THEN 'low_rating'
   WHEN k IN ('ECONOMY', 'LARGE') THEN 'included_type: ' || k ELSE 'no_matching_criteria' END AS reason FROM (SELECT p_partkey, lower(p_name) AS n, p_type AS k, p_size FROM part)""")
 def rule_filter_reason(t: Tables):
-    """Rules in order of precedence, with the one that decided."""
+    """rules in order of precedence, with the one that decided."""
     kept = rules.include(F.col("p_name"), F.array("p_type"), F.col("p_size"), ["ring"], ["widget"], ["PROMO"], ["ECONOMY", "LARGE"], 20)
     return t.part.select("p_partkey", kept.alias("r")).select("p_partkey", "r.keep", "r.reason")
 
@@ -231,7 +231,7 @@ def rule_filter_reason(t: Tables):
 @book.add("""
 SELECT p_partkey, CASE WHEN contains(lower(p_name), 'bolt') AND p_type <> 'PROMO' THEN 'fastener' WHEN contains(lower(p_name), 'gear') THEN 'machine' WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'by_size' ELSE 'community_organization' END AS category FROM part""")
 def categorize(t: Tables):
-    """The first rule that fits gives the category."""
+    """Fixture: the first rule that fits gives the category."""
     n, k = F.lower("p_name"), F.col("p_type")
     table = [(n.contains("bolt") & (k != "PROMO"), "fastener"), (n.contains("gear"), "machine"), (k.isin("SMALL", "MEDIUM"), "by_size")]
     return t.part.select("p_partkey", rules.first_match(table, "community_organization").alias("category"))
@@ -249,7 +249,7 @@ SELECT c_custkey, least(100, CASE WHEN r >= 500000 THEN 30 WHEN r >= 300000 THEN
   + CASE WHEN e BETWEEN 20 AND 50 THEN 20 WHEN e BETWEEN 15 AND 25 THEN 18 WHEN e BETWEEN 10 AND 20 THEN 15 WHEN e BETWEEN 5 AND 15 THEN 10 ELSE 0 END + CASE WHEN c_mktsegment = 'MACHINERY' THEN 15 ELSE 0 END) AS score
 FROM (SELECT *, c_acctbal * 60 AS r, c_custkey % 60 AS e FROM customer)""")
 def lead_score(t: Tables):
-    """Points of several kinds, a hundred at most."""
+    """Fixture: points of several kinds, a hundred at most."""
     points = rules.revenue_points(F.col("c_acctbal") * 60) + rules.employee_points(F.col("c_custkey") % 60) + F.when(F.col("c_mktsegment") == "MACHINERY", 15).otherwise(0)
     return t.customer.select("c_custkey", F.least(F.lit(100), points).alias("score"))
 
@@ -267,7 +267,7 @@ _COS = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOU
 
 @book.add(f"SELECT vec_id, label, {_COS} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20")
 def cosine_topk(t: Tables):
-    """The vectors most like one of them."""
+    """Fixture: the vectors most like one of them."""
     query = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
     return similarity.most_similar(t.embeddings, query, 20).select("vec_id", "label", "similarity")
 
@@ -276,7 +276,7 @@ def cosine_topk(t: Tables):
 WITH k AS (SELECT vec_id, label, {_COS} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20)
 SELECT label, count(*) AS n, max(similarity) AS best, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM k GROUP BY 1""")
 def cosine_group(t: Tables):
-    """The best vectors by label."""
+    """Fixture: the best vectors by label."""
     query = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
     members = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda v: v.cast("string")), ",")
     return similarity.most_similar(t.embeddings, query, 20).groupBy("label").agg(F.count("*").alias("n"), F.max("similarity").alias("best"), members.alias("members"))
@@ -316,14 +316,14 @@ def cosine_group_each(t: Tables):
 
 @book.add("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.absent') AS absent FROM events")
 def json_props(t: Tables):
-    """Fields of JSON text."""
+    """Fixture: fields of JSON text."""
     fields = html.fenced_json(F.col("props"))
     return t.events.select("event_id", F.try_element_at(fields, F.lit("k")).cast("int").alias("k"), F.try_element_at(fields, F.lit("absent")).alias("absent"))
 
 
 @book.add("SELECT c_custkey, CASE WHEN length(trim(c_mktsegment)) > 0 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS n_present FROM customer")
 def overflow_map(t: Tables):
-    """Columns beyond the core as a map without blanks."""
+    """Fixture: columns beyond the core as a map without blanks."""
     c = t.customer.select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"))
     return reshape.overflow(c, ["c_custkey"]).select("c_custkey", F.size("extra").alias("n_present"))
 
