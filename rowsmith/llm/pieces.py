@@ -76,13 +76,16 @@ def distinct_task(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: set[str] = set()
+        chars = 0  # of the texts since the words were sent: no fewer than the words have
         for batch in batches:
             for _, texts in _texts(batch):
                 for t in texts:
                     words.update(t.split(" "))
+                    chars += len(t)
                 words.discard("")
-                if len(words) > MOST_CHUNKS:
+                if len(words) > MOST_CHUNKS or chars > MOST_CHARS and sum(map(len, words)) > MOST_CHARS:
                     yield flush(words)
+                    chars = 0
         if words:
             yield flush(words)
 

@@ -21,41 +21,50 @@ def tokenizer(name: str) -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a Kneser-Ney model of those that are not held out, beside a base score."""
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each line of all documents, near lines included, and which occurrence stays."""
     return lines.line_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of all documents, from one encoding of each document."""
     import public_tokenizers
 
     return tokens.attribute(table(spark, sf_dir, "documents"), ["text"], tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of each document, and which one stays."""
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors of equal label with a cosine of 0.98 or more."""
     return vectors.groups(table(spark, sf_dir, "embeddings"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and chance of the top grade of all documents, by a model fitted on a bounded sample of labelled ones."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(quality.labelled_sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in all documents, and places of three base phrases."""
     return licenses.summaries(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents."""
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and one of control strings, read back from formatted chats."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.lit(-1).alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("payload"))
     turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).union(chat.canonical_json(extra))
@@ -63,6 +72,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of benchmark items."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
