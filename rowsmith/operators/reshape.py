@@ -59,3 +59,21 @@ def unpivot_counts(df: DataFrame) -> DataFrame:
         return sums.select(F.lit(name).alias("column"), "n_rows", "n_null", "n_distinct")
 
     return reduce(DataFrame.union, map(one, df.columns))
+
+
+def update_cells(df: DataFrame, key: str, column: str, updates: DataFrame) -> DataFrame:
+    """``column`` set to the ``value`` of ``updates`` (key, value) in the rows that these name, null included; made where ``df`` lacks it."""
+    old = F.col(column) if column in df.columns else F.lit(None)
+    new = updates.select(F.col(key).alias("__key"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
+    joined = df.join(new, F.col(key) == F.col("__key"), "left")
+    cell = F.when(F.col("__hit"), F.col("__value")).otherwise(old).alias(column)
+    return joined.select(*(cell if c == column else F.col(c) for c in df.columns), *([] if column in df.columns else [cell]))
+
+
+def with_all(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rows in which none of ``fields`` is null, an empty text, zero or false."""
+    nothing = {"string": "", "boolean": False}
+    kinds = dict(df.dtypes)
+    for f in fields:
+        df = df.filter(F.col(f).isNotNull() & (F.col(f) != F.lit(nothing.get(kinds[f], 0))))
+    return df

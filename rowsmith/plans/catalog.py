@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rowsmith.plans import cleaning, contacts, details, leads, merges, projections, reports, resolution, segments, streams, texts
+from rowsmith.plans import cleaning, contacts, details, leads, merges, projections, reports, resolution, segments, shaping, streams, texts
 from rowsmith.plans.tables import Query
 
-BOOKS = (reports.book, merges.book, texts.book, projections.book, contacts.book, leads.book, details.book, cleaning.book, resolution.book, streams.book, segments.book)
+BOOKS = (reports.book, merges.book, texts.book, projections.book, contacts.book, leads.book, details.book, cleaning.book, resolution.book, streams.book, segments.book, shaping.book)
 
 
 def queries() -> dict[str, Query]:
