@@ -30,51 +30,51 @@ STEMS = (b"spdx", b"licen", b"copyright", b"creative commons", b"permi", b"redis
 #: with a word of licensing beside it, an identifier behind an SPDX tag.
 NAMES = r"""
 mit; mit|expat|x11; mit
-apache-2; apache( software foundation)?( public)?( license)?( version| v)? ?2( 0)?|asl ?2( 0)?|al ?2 0; apache 2 0
-apache-1.1; apache( software)?( license)?( version| v)? ?1 1; apache 1 1
-apache-1.0; apache( software)?( license)?( version| v)? ?1 0; apache 1 0
+apache-2; apache( software foundation)?( public)?( license)?( version| ?v)? ?2( 0)?|asl ?2( 0)?|al ?2 0; apache 2 0
+apache-1.1; apache( software)?( license)?( version| ?v)? ?1 1; apache 1 1
+apache-1.0; apache( software)?( license)?( version| ?v)? ?1 0; apache 1 0
 bsd-2-clause; (simplified|free|2 clause|two clause) bsd|bsd (2|two) clause|freebsd; bsd 2 clause
 bsd-3-clause; (new|modified|revised|3 clause|three clause) bsd|bsd (3|three) clause; bsd 3 clause
 bsd-4-clause; (original|old|4 clause|four clause) bsd|bsd (4|four) clause; bsd 4 clause
 0bsd; zero clause bsd|0bsd|bsd zero clause|bsd 0 clause; 0bsd
-gpl-1; (gnu )?(general public license|gpl)( version| v)? ?1( 0)?; gpl 1 0
-gpl-2; (gnu )?(general public license|gpl)( version| v)? ?2( 0)?; gpl 2 0
-gpl-3; (gnu )?(general public license|gpl)( version| v)? ?3( 0)?; gpl 3 0
-lgpl-2; (gnu )?(library|lesser) general public license( version| v)? ?2( 0)?|lgpl( version| v)? ?2( 0)?; lgpl 2 0
-lgpl-2.1; (gnu )?lesser general public license( version| v)? ?2 1|lgpl( version| v)? ?2 1; lgpl 2 1
-lgpl-3; (gnu )?lesser general public license( version| v)? ?3( 0)?|lgpl( version| v)? ?3( 0)?; lgpl 3 0
-agpl-1; affero general public license( version| v)? ?1( 0)?|agpl( version| v)? ?1( 0)?; agpl 1 0
-agpl-3; (gnu )?affero general public license( version| v)? ?3( 0)?|agpl( version| v)? ?3( 0)?; agpl 3 0
-gfdl-1.1; (gnu )?free documentation license( version| v)? ?1 1|gfdl ?1 1; gfdl 1 1
-gfdl-1.2; (gnu )?free documentation license( version| v)? ?1 2|gfdl ?1 2; gfdl 1 2
-gfdl-1.3; (gnu )?free documentation license( version| v)? ?1 3|gfdl ?1 3; gfdl 1 3
-mpl-1.0; mozilla public license( version| v)? ?1 0|mpl( version| v)? ?1 0; mpl 1 0
-mpl-1.1; mozilla public license( version| v)? ?1 1|mpl( version| v)? ?1 1; mpl 1 1
-mpl-2; mozilla public license( version| v)? ?2( 0)?|mpl( version| v)? ?2( 0)?; mpl 2 0
-epl-1; eclipse public license( version| v)? ?1( 0)?|epl( version| v)? ?1( 0)?; epl 1 0
-epl-2; eclipse public license( version| v)? ?2( 0)?|epl( version| v)? ?2( 0)?; epl 2 0
-edl-1; eclipse distribution license( version| v)? ?1( 0)?; edl 1 0
-cddl-1.0; common development and distribution license( version| v)? ?1 0|cddl( version| v)? ?1 0; cddl 1 0
-cddl-1.1; common development and distribution license( version| v)? ?1 1|cddl( version| v)? ?1 1; cddl 1 1
-cpl-1; common public license( version| v)? ?1( 0)?; cpl 1 0
-ipl-1; ibm public license( version| v)? ?1( 0)?; ipl 1 0
-npl-1.1; netscape public license( version| v)? ?1 1; npl 1 1
-spl-1; sun public license( version| v)? ?1( 0)?; spl 1 0
-osl-3; open software license( version| v)? ?3( 0)?|osl ?3( 0)?; osl 3 0
-afl-3; academic free license( version| v)? ?3( 0)?|afl ?3( 0)?; afl 3 0
-artistic-1; artistic license( version| v)? ?1( 0)?; artistic 1 0
-artistic-2; artistic license( version| v)? ?2( 0)?; artistic 2 0
-bsl-1; boost software license( version| v)? ?1( 0)?; bsl 1 0
-busl-1.1; business source license( version| v)? ?1 1; busl 1 1
-sspl-1; server side public license( version| v)? ?1( 0)?|sspl; sspl 1 0
-elastic-2; elastic license( version| v)? ?2( 0)?; elastic 2 0
+gpl-1; (gnu )?(general public license|gpl)( version| ?v)? ?1( 0)?; gpl 1 0
+gpl-2; (gnu )?(general public license|gpl)( version| ?v)? ?2( 0)?; gpl 2 0
+gpl-3; (gnu )?(general public license|gpl)( version| ?v)? ?3( 0)?; gpl 3 0
+lgpl-2; (gnu )?(library|lesser) general public license( version| ?v)? ?2( 0)?|lgpl( version| ?v)? ?2( 0)?; lgpl 2 0
+lgpl-2.1; (gnu )?lesser general public license( version| ?v)? ?2 1|lgpl( version| ?v)? ?2 1; lgpl 2 1
+lgpl-3; (gnu )?lesser general public license( version| ?v)? ?3( 0)?|lgpl( version| ?v)? ?3( 0)?; lgpl 3 0
+agpl-1; affero general public license( version| ?v)? ?1( 0)?|agpl( version| ?v)? ?1( 0)?; agpl 1 0
+agpl-3; (gnu )?affero general public license( version| ?v)? ?3( 0)?|agpl( version| ?v)? ?3( 0)?; agpl 3 0
+gfdl-1.1; (gnu )?free documentation license( version| ?v)? ?1 1|gfdl ?1 1; gfdl 1 1
+gfdl-1.2; (gnu )?free documentation license( version| ?v)? ?1 2|gfdl ?1 2; gfdl 1 2
+gfdl-1.3; (gnu )?free documentation license( version| ?v)? ?1 3|gfdl ?1 3; gfdl 1 3
+mpl-1.0; mozilla public license( version| ?v)? ?1 0|mpl( version| ?v)? ?1 0; mpl 1 0
+mpl-1.1; mozilla public license( version| ?v)? ?1 1|mpl( version| ?v)? ?1 1; mpl 1 1
+mpl-2; mozilla public license( version| ?v)? ?2( 0)?|mpl( version| ?v)? ?2( 0)?; mpl 2 0
+epl-1; eclipse public license( version| ?v)? ?1( 0)?|epl( version| ?v)? ?1( 0)?; epl 1 0
+epl-2; eclipse public license( version| ?v)? ?2( 0)?|epl( version| ?v)? ?2( 0)?; epl 2 0
+edl-1; eclipse distribution license( version| ?v)? ?1( 0)?; edl 1 0
+cddl-1.0; common development and distribution license( version| ?v)? ?1 0|cddl( version| ?v)? ?1 0; cddl 1 0
+cddl-1.1; common development and distribution license( version| ?v)? ?1 1|cddl( version| ?v)? ?1 1; cddl 1 1
+cpl-1; common public license( version| ?v)? ?1( 0)?; cpl 1 0
+ipl-1; ibm public license( version| ?v)? ?1( 0)?; ipl 1 0
+npl-1.1; netscape public license( version| ?v)? ?1 1; npl 1 1
+spl-1; sun public license( version| ?v)? ?1( 0)?; spl 1 0
+osl-3; open software license( version| ?v)? ?3( 0)?|osl ?3( 0)?; osl 3 0
+afl-3; academic free license( version| ?v)? ?3( 0)?|afl ?3( 0)?; afl 3 0
+artistic-1; artistic license( version| ?v)? ?1( 0)?; artistic 1 0
+artistic-2; artistic license( version| ?v)? ?2( 0)?; artistic 2 0
+bsl-1; boost software license( version| ?v)? ?1( 0)?; bsl 1 0
+busl-1.1; business source license( version| ?v)? ?1 1; busl 1 1
+sspl-1; server side public license( version| ?v)? ?1( 0)?|sspl; sspl 1 0
+elastic-2; elastic license( version| ?v)? ?2( 0)?; elastic 2 0
 isc; isc; isc
 zlib; zlib( libpng)?; zlib
 libpng; libpng; libpng
 unlicense; unlicense; unlicense
 wtfpl; wtfpl|do what the fuck you want to public license; wtfpl
-python-2; python software foundation( license)?( version| v)? ?2( 0)?|psf( version| v)? ?2( 0)?; psf 2 0
-php-3.01; php( license)?( version| v)? ?3 01; php 3 01
+python-2; python software foundation( license)?( version| ?v)? ?2( 0)?|psf( version| ?v)? ?2( 0)?; psf 2 0
+php-3.01; php( license)?( version| ?v)? ?3 01; php 3 01
 ruby; ruby; ruby
 postgresql; postgresql; postgresql
 openssl; openssl; openssl
@@ -82,19 +82,19 @@ curl; curl; curl
 ncsa; university of illinois ncsa( open source)?|ncsa( open source)?; ncsa
 w3c; w3c( software)?( notice and)?; w3c
 vim; vim; vim
-eupl-1.1; european union public licen[cs]e( version| v)? ?1 1|eupl( version| v)? ?1 1; eupl 1 1
-eupl-1.2; european union public licen[cs]e( version| v)? ?1 2|eupl( version| v)? ?1 2; eupl 1 2
-cecill-2.1; cecill( version| v)? ?2 1; cecill 2 1
+eupl-1.1; european union public licen[cs]e( version| ?v)? ?1 1|eupl( version| ?v)? ?1 1; eupl 1 1
+eupl-1.2; european union public licen[cs]e( version| ?v)? ?1 2|eupl( version| ?v)? ?1 2; eupl 1 2
+cecill-2.1; cecill( version| ?v)? ?2 1; cecill 2 1
 cecill-b; cecill b; cecill b
 cecill-c; cecill c; cecill c
-ofl-1.1; (sil )?open font license( version| v)? ?1 1|ofl( version| v)? ?1 1; ofl 1 1
-upl-1; universal permissive license( version| v)? ?1( 0)?; upl 1 0
+ofl-1.1; (sil )?open font license( version| ?v)? ?1 1|ofl( version| ?v)? ?1 1; ofl 1 1
+upl-1; universal permissive license( version| ?v)? ?1( 0)?; upl 1 0
 ms-pl; microsoft public license|ms pl; ms pl
 ms-rl; microsoft reciprocal license|ms rl; ms rl
-mulan-psl-2; mulan( permissive software)?( license)?( version| v)? ?2|mulan psl( version| v)? ?2; mulanpsl 2 0
-odbl-1; open (data commons open )?database license( version| v)? ?1( 0)?|odbl( version| v)? ?1( 0)?; odbl 1 0
-odc-by-1; open data commons attribution license( version| v)? ?1( 0)?|odc by; odc by 1 0
-pddl-1; public domain dedication and license( version| v)? ?1( 0)?|pddl; pddl 1 0
+mulan-psl-2; mulan( permissive software)?( license)?( version| ?v)? ?2|mulan psl( version| ?v)? ?2; mulanpsl 2 0
+odbl-1; open (data commons open )?database license( version| ?v)? ?1( 0)?|odbl( version| ?v)? ?1( 0)?; odbl 1 0
+odc-by-1; open data commons attribution license( version| ?v)? ?1( 0)?|odc by; odc by 1 0
+pddl-1; public domain dedication and license( version| ?v)? ?1( 0)?|pddl; pddl 1 0
 cc0; cc0( 1 0)?|cc zero|creative commons zero; cc0 1 0
 cc-by; cc by( [1-4] [05])?|creative commons attribution( [1-4] [05])?; cc by 4 0
 cc-by-sa; cc by sa( [1-4] [05])?|creative commons attribution share ?alike( [1-4] [05])?; cc by sa 4 0
@@ -105,6 +105,12 @@ cc-by-nc-nd; cc by nc nd( [1-4] [05])?|creative commons attribution non ?commerc
 llama-2; llama 2 community; llama2
 llama-3; llama 3( [1-3])? community; llama3
 openrail; (creativeml |bigscience |bigcode )?open ?rail( m)?; openrail
+gpl; gnu (gpl|general public licen[cs]e)|gpl; gpl
+lgpl; (gnu )?(lgpl|(lesser|library) general public licen[cs]e); lgpl
+agpl; (gnu )?(agpl|affero general public licen[cs]e); agpl
+mpl; mpl|mozilla public licen[cs]e; mpl
+apache; apache; apache
+bsd; bsd; bsd
 """
 
 #: label; sentences and phrases of the license's own text or of usual notices.
@@ -229,13 +235,22 @@ no-ai; may not be used (to train|for training|in the training of)
 no-warranty; in no event shall the (authors|copyright (holders?|owner)|regents)( or( copyright holders| contributors)?)? be liable
 no-warranty; use (it )?at your own risk
 copyright; copyright( c)? (19|20)[0-9]{2}( (19|20)[0-9]{2})*
+gpl-2; gpl ?v ?2( 0)?
+gpl-3; gpl ?v ?3( 0)?
+lgpl-2.1; lgpl ?v ?2 1
+lgpl-3; lgpl ?v ?3( 0)?
+agpl-3; agpl ?v ?3( 0)?
 """
 #: How a name stands in a text: pattern around it, priority, confidence.
 FRAMES = (
     ("named", r"{name}(?: software| public)? licen[cs]e", 60, 0.9),
-    ("under", r"(?:under|subject to|terms of|licensed) (?:the |a )?(?:terms of the )?(?:{name})", 80, 0.95),
+    ("under", r"(?:under|subject to|terms of|licensed) (?:the |a |either (?:of )?(?:the )?)?(?:terms of the )?(?:{name})", 80, 0.95),
     ("bracket", r"licen[cs]e (?:is |type |name |id )?(?:the )?(?:{name})", 50, 0.8),
+    ("adjective", r"(?:{name}) licen[cs]ed", 75, 0.9),
+    ("either", r"(?:{first})(?:the )?(?:{name})", 65, 0.8),
 )
+#: Names before an "or" or "and" behind which another name counts.
+FIRST = ("mit", "apache 2 0", "apache 2", "apache", "bsd", "bsd 3 clause", "bsd 2 clause", "isc", "gpl", "gpl 2 0", "gpl 3 0", "gplv2", "gplv3", "lgpl", "mpl 2 0", "mpl", "cc0", "unlicense", "zlib")
 SPDX = (r"spdx license identifier {name}", 100, 1.0)
 
 
@@ -282,7 +297,7 @@ def rules() -> list[tuple[str, int, float, tuple[frozenset[bytes], ...], re.Patt
         label, name, identifier = line.split("; ")
         add(label, SPDX[1], SPDX[2], SPDX[0].format(name=identifier))
         for _, frame, priority, confidence in FRAMES:
-            add(label, priority, confidence, frame.format(name=f"(?:{name})"))
+            add(label, priority, confidence, frame.format(name=f"(?:{name})", first="|".join(f"(?<= {x} {link} )" for x in FIRST for link in ("or", "and"))))
         if label.startswith("cc"):
             add(label, 55, 0.85, name)
     return out

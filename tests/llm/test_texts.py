@@ -126,6 +126,25 @@ def test_license_rules(text, labels):
     assert labels <= found and (labels or not found)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("This is MIT licensed.", {"mit"}),
+        ("GPLv3+", {"gpl-3"}),
+        ("a library under the LGPL", {"lgpl"}),
+        ("under MIT or Apache-2.0", {"mit", "apache-2"}),
+        ("Licensed under either of Apache-2.0 or MIT", {"apache-2", "mit"}),
+        ("distributed under the GPLv2", {"gpl-2"}),
+        ("the AGPL licensed server", {"agpl"}),
+        ("released under the MPL and BSD", {"mpl", "bsd"}),
+        ("he studied at Harvard and MIT", set()),
+        ("an apache helicopter", set()),
+    ],
+)
+def test_license_phrasings(text, labels):
+    assert {f[2] for f in licenses.scan(text.encode())[2]} == labels
+
+
 def license_examples(parsed):
     """Texts that an expression matches, in which each of its alternatives and options stands at least once."""
     from re import _constants as C
@@ -145,6 +164,8 @@ def license_examples(parsed):
         elif kind is C.MAX_REPEAT:
             one = license_examples(value[2])
             each = [x * max(value[0], 1) for x in one] + ([""] if value[0] == 0 else [])
+        elif kind is C.ASSERT and value[0] < 0:  # what has to stand before
+            each = ["x" + x for x in license_examples(value[1])]
         else:
             each = [""]
         out = [a + each[0] for a in out] + [out[0] + x for x in each[1:]]
