@@ -196,7 +196,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 BLOCK = 256
 
 
-def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], tuple], name: str, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], verify_block: Callable[[pa.Table, pa.Table], tuple], name: str, block: int = BLOCK, bytes_of: Column | None = None) -> DataFrame:
     """(id, component) of the nodes that verified links connect; only nodes that share a bucket need be compared.
 
     ``members`` has (bucket, node) without repeats; buckets of the same nodes count once. ``prepare`` gives a row (node, ...) of what verifying needs for each
@@ -206,7 +206,8 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     with what such buckets hold of the group, in blocks: ``verify_block`` gives of two tables of facts the rows that may be linked, as (i, j,
     check), and ``check`` decides on some of them. Pairs that are connected by then are not compared, and only as many links
     are returned as connect the block. So all pairs of a bucket are compared or known to be
-    connected, no pair is a row but those with a leader, and a block is all that a task holds.
+    connected, no pair is a row but those with a leader, and a block is all that a task holds. With ``bytes_of``, the bytes of
+    a node's facts, a task takes many small blocks, of about ``TOGETHER`` rows and bytes in all, and decides on their pairs side by side.
     """
     # Buckets that hold the same nodes, by number and 128 bits of these, are one bucket.
     kinds = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -230,19 +231,85 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify
     state = written(state.join(main, "bucket").select(F.col("main").alias("cluster"), "node", "label").distinct(), name)
     apart = state.filter("label <> cluster").select("cluster", "node").distinct()
     if not apart.isEmpty():
-        links = links.union(written(_linked_in_blocks(apart, state, facts, verify_block, name, block), name))
+        links = links.union(written(_linked_in_blocks(apart, state, facts, verify_block, name, block, bytes_of), name))
     return components(links, name)
 
 
-#: Pairs that are compared before it is seen again which ones are connected.
-TURN = 8192
+#: Pairs that are compared before it is seen again which ones are connected; rows and bytes of blocks that a task takes together.
+TURN, TOGETHER = 8192, (4096, 4 << 20)
 
 
-def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int) -> DataFrame:
+class Check:
+    """Decides on pairs (i, j) of a block, alone or side by side with pairs of others: ``decide`` on what ``facts`` gives of them."""
+
+    def __init__(self, facts: Callable[[np.ndarray, np.ndarray], tuple], decide: Callable[..., np.ndarray]):
+        self.facts, self.decide = facts, decide
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.decide(*self.facts(i, j))
+
+
+class _Block:
+    """One block: its pairs that may be linked, and which of its nodes are connected by now."""
+
+    def __init__(self, table: pa.Table, verify_block):
+        side = table.column("side").to_numpy()
+        parts = [table.filter(pa.array(side == k)) for k in (0, 1)]
+        self.names = [p.column("node").to_pylist() for p in parts]
+        places = {x: k for k, x in enumerate(dict.fromkeys(self.names[0] + self.names[1]))}
+        self.at = [np.array([places[x] for x in own], np.int64) for own in self.names]
+        # Nodes of one label are connected from the start.
+        self.group = np.arange(len(places))
+        first: dict = {}
+        for own, p in zip(self.at, parts, strict=True):
+            for k, label in zip(own.tolist(), p.column("label").to_pylist(), strict=True):
+                self.group[k] = first.setdefault(label, k)
+        i, j, self.check = verify_block(*parts)
+        order = np.random.default_rng(len(i)).permutation(len(i))
+        self.i, self.j, self.found = i[order], j[order], []
+
+    def turn(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next ``n`` pairs that are not connected."""
+        open_ = self.group[self.at[0][self.i]] != self.group[self.at[1][self.j]]
+        self.i, self.j = self.i[open_], self.j[open_]
+        i, j = self.i[:n], self.j[:n]
+        self.i, self.j = self.i[n:], self.j[n:]
+        return i, j
+
+    def settle(self, i: np.ndarray, j: np.ndarray, yes: np.ndarray) -> None:
+        for a, b in zip(i[yes].tolist(), j[yes].tolist(), strict=True):
+            x, y = self.group[self.at[0][a]], self.group[self.at[1][b]]
+            if x != y:
+                self.group[self.group == max(x, y)] = min(x, y)
+                self.found.append((min(self.names[0][a], self.names[1][b]), max(self.names[0][a], self.names[1][b])))
+
+
+def _decided(blocks: list[_Block]) -> None:
+    """All links of the blocks that connect nodes, a turn of each block's pairs after the other."""
+    while blocks:
+        share = max(1, TURN // len(blocks))
+        turns = [(b, *b.turn(share)) for b in blocks]
+        turns = [t for t in turns if len(t[1])]
+        if not turns:
+            return
+        if all(isinstance(b.check, Check) for b, _, _ in turns):
+            facts = [b.check.facts(i, j) for b, i, j in turns]
+            joined = (np.concatenate(x) if isinstance(x[0], np.ndarray) else [y for part in x for y in part] for x in zip(*facts, strict=True))
+            yes = turns[0][0].check.decide(*joined)
+            cuts = np.cumsum([len(i) for _, i, _ in turns])[:-1]
+            for (b, i, j), own in zip(turns, np.split(yes, cuts), strict=True):
+                b.settle(i, j, own)
+        else:
+            for b, i, j in turns:
+                b.settle(i, j, b.check(i, j))
+        blocks = [b for b, _, _ in turns if len(b.i)]
+
+
+def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, verify_block, name: str, block: int, bytes_of: Column | None) -> DataFrame:
     """Links of the attached nodes (cluster, node) with one another and with the others of ``state`` (cluster, node, label)."""
     whole = state.groupBy("cluster", "node").agg(F.min("label").alias("label"))
     apart = apart.join(whole, ["cluster", "node"])
-    blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias(n), F.count("*").alias(f"{n}_rows"))
     sizes = written(blocks(apart, "left_n").join(blocks(whole, "right_n"), "cluster"), name)
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -252,37 +319,23 @@ def _linked_in_blocks(apart: DataFrame, state: DataFrame, facts: DataFrame, veri
     kind = facts.schema["node"].dataType.simpleString()
 
     def task(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        parts = [table.filter(pa.array(side == k)) for k in (0, 1)]
-        names = [p.column("node").to_pylist() for p in parts]
-        places = {x: k for k, x in enumerate(dict.fromkeys(names[0] + names[1]))}
-        at = [np.array([places[x] for x in own_names], np.int64) for own_names in names]
-        # Nodes of one label are connected from the start.
-        group = np.arange(len(places))
-        first: dict = {}
-        for own_at, p in zip(at, parts, strict=True):
-            for k, label in zip(own_at.tolist(), p.column("label").to_pylist(), strict=True):
-                group[k] = first.setdefault(label, k)
-        i, j, check = verify_block(*parts)
-        order = np.random.default_rng(len(i)).permutation(len(i))
-        i, j = i[order], j[order]
-        found = []
-        while True:
-            open_ = group[at[0][i]] != group[at[1][j]]
-            i, j = i[open_], j[open_]
-            if not len(i):
-                break
-            yes = check(i[:TURN], j[:TURN])
-            for a, b in zip(i[:TURN][yes].tolist(), j[:TURN][yes].tolist(), strict=True):
-                x, y = group[at[0][a]], group[at[1][b]]
-                if x != y:
-                    group[group == max(x, y)] = min(x, y)
-                    found.append((min(names[0][a], names[1][b]), max(names[0][a], names[1][b])))
-            i, j = i[TURN:], j[TURN:]
+        keys = [table.column("cluster").combine_chunks().dictionary_encode(), *(table.column(c) for c in "ij")]
+        keys = [keys[0].indices.to_numpy(), *(k.to_numpy() for k in keys[1:])]
+        order = np.lexsort(keys)
+        new = np.flatnonzero(np.concatenate([[True], np.any([np.diff(k[order]) != 0 for k in keys], axis=0)]))
+        parts = [_Block(table.take(pa.array(rows)), verify_block) for rows in np.split(order, new[1:])]
+        _decided(parts)
+        found = [x for b in parts for x in b.found]
         types = table.schema.field("node").type
         return pa.table({"a": pa.array([x[0] for x in found], types), "b": pa.array([x[1] for x in found], types)})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(task, f"a {kind}, b {kind}").distinct()
+    by: list = ["cluster", "i", "j"]
+    if bytes_of is not None:
+        n = sizes.agg(F.sum(F.col("left_n_rows") * F.col("right_n") + F.col("right_n_rows") * F.col("left_n"))).first()[0] or 0
+        mean = facts.agg(F.avg(bytes_of)).first()[0] or 0
+        groups = 1 + int(max(n // TOGETHER[0], n * mean // TOGETHER[1]))
+        by = [F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)).alias("g")]
+    return rows.groupBy(*by).applyInArrow(task, f"a {kind}, b {kind}").distinct()
 
 
 def ascii_lower(text: Column) -> Column:
