@@ -11,12 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Top-level domains that count as real. The last line adds generic ones that cutting would damage.
-TLDS = (
-    "com org net edu gov mil int "
-    "de uk fr it es nl pl ch at be cz dk fi gr hu ie no pt ro ru se sk si hr bg ee lt lv lu mt cy is li mc rs ua us ca au nz jp cn in br mx ar cl "
-    "io co ai xyz online site tech store app eu asia africa "
-    "info biz"
-).split()
+TLDS = [
+    "com", "org", "net", "edu", "gov", "mil", "int",
+    "de", "uk", "fr", "it", "es", "nl", "pl", "ch", "at", "be", "cz", "dk", "fi", "gr",
+    "hu", "ie", "no", "pt", "ro", "ru", "se", "sk", "si", "hr", "bg", "ee", "lt", "lv",
+    "lu", "mt", "cy", "is", "li", "mc", "rs", "ua", "us", "ca", "au", "nz", "jp", "cn",
+    "in", "br", "mx", "ar", "cl",
+    "io", "co", "ai", "xyz", "online", "site", "tech", "store", "app", "eu", "asia", "africa",
+    "info", "biz",
+]
 LONGEST_FIRST = sorted(TLDS, key=lambda t: (-len(t), t))
 
 # Addresses with one of these are no one's.
@@ -28,8 +31,8 @@ FIND = r"(?<![a-zA-Z0-9])([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,20})(?=[^
 
 # Repairs in the order in which they apply, case ignored.
 REPAIRS = (
-    (r"^%20+", ""),
-    (r"%20", ""),
+    ("^%20+", ""),
+    ("%20", ""),
     (r"^[\d\.\-\(\)\s]+(?=[a-z]+@)", ""),
     (r"^\d{5}[a-z]*email[a-z]*", ""),
     (r"^\d{5}[a-z]*phone[a-z]*", ""),
@@ -37,15 +40,31 @@ REPAIRS = (
     (r"^\d+[a-z]+(?=@)", ""),
     (r"^\d+(?=[a-z]*@)", ""),
     (r"^[a-z]+[\d\.\-]+([a-z]+@)", "$1"),
-    *((rf"(\.{t})(?:[a-z]+.*?)$", "$1") for t in ("com", "net", "org", "edu", "gov", "biz", "info", "site", "email", "io")),
-    *((rf"(\.{t})[a-z]$", "$1") for t in ("com", "net", "org")),
-    *((rf"@(.+?)\.({glued})$", rf"@$1.{tld}") for glued, tld in (("huhorizon", "hu"), ("chder", "ch"), ("ukregistered", "uk"), ("nliban", "nl"), ("chhorizon", "ch"), ("dehorizon", "de"))),
+    (r"(\.com)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.net)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.org)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.edu)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.gov)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.biz)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.info)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.site)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.email)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.io)(?:[a-z]+.*?)$", "$1"),
+    (r"(\.com)[a-z]$", "$1"),
+    (r"(\.net)[a-z]$", "$1"),
+    (r"(\.org)[a-z]$", "$1"),
+    (r"@(.+?)\.(huhorizon)$", "@$1.hu"),
+    (r"@(.+?)\.(chder)$", "@$1.ch"),
+    (r"@(.+?)\.(ukregistered)$", "@$1.uk"),
+    (r"@(.+?)\.(nliban)$", "@$1.nl"),
+    (r"@(.+?)\.(chhorizon)$", "@$1.ch"),
+    (r"@(.+?)\.(dehorizon)$", "@$1.de"),
     (r"@remove-this\.", "@"),
     (r"@remove\.", "@"),
     (r"\(\d{3}\)\s*\d{3}-\d{4}", ""),
     (r"\d{3}-\d{3}-\d{4}", ""),
     (r"\d{3}-\d{4}", ""),
-    (r"^email(?=[a-z]+@)", ""),
+    ("^email(?=[a-z]+@)", ""),
 )
 
 # How good the start of an address is, the first that fits; and how good a validation result is.

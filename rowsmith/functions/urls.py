@@ -9,13 +9,14 @@ from rowsmith.functions.emails import strip
 
 # Words in a URL and what each adds to its score; words that overlap all add.
 LINK_WORDS = {
-    100: "contact contactus contact-us kontakt contacto contatto get-in-touch reach-us contact-information contact-info",
-    80: "about aboutus about-us our-story policies policy info information",
-    60: "team staff leadership management support help customer-service customer-support",
-    40: "quote quotes request-quote get-quote location locations find-us directions schedule appointment inquiry enquiry",
-    20: "office offices branch call phone email mail message feedback corporate business partner press media",
-    10: "services faq helpdesk book reservation",
+    100: ("contact", "contactus", "contact-us", "kontakt", "contacto", "contatto", "get-in-touch", "reach-us", "contact-information", "contact-info"),
+    80: ("about", "aboutus", "about-us", "our-story", "policies", "policy", "info", "information"),
+    60: ("team", "staff", "leadership", "management", "support", "help", "customer-service", "customer-support"),
+    40: ("quote", "quotes", "request-quote", "get-quote", "location", "locations", "find-us", "directions", "schedule", "appointment", "inquiry", "enquiry"),
+    20: ("office", "offices", "branch", "call", "phone", "email", "mail", "message", "feedback", "corporate", "business", "partner", "press", "media"),
+    10: ("services", "faq", "helpdesk", "book", "reservation"),
 }
+# Hosts of social networks.
 SOCIAL = ("facebook.com", "instagram.com", "twitter.com", "linkedin.com", "youtube.com", "tiktok.com", "pinterest.com")
 
 
@@ -69,7 +70,7 @@ def social_links(html: Column) -> Column:
 def link_score(url: Column) -> Column:
     """Sum of the words in a URL, and 50 more on a ``/pages/`` or ``/policies/`` path; 0 for product pages."""
     low = F.lower(url)
-    total = sum((F.when(low.contains(w), points).otherwise(0) for points, words in LINK_WORDS.items() for w in words.split()), F.lit(0))
+    total = sum((F.when(low.contains(w), points).otherwise(0) for points, words in LINK_WORDS.items() for w in words), F.lit(0))
     paths = low.contains("/pages/") | low.contains("/policies/")
     product = low.contains("/products/") | low.contains("/collections/")
     return F.when(product, 0).otherwise(total + F.when((total > 0) & paths, 50).otherwise(0))

@@ -7,7 +7,6 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowsmith.operators import graph, ranking
@@ -137,8 +136,3 @@ def profile(df: DataFrame, column: str) -> DataFrame:
         (F.count(c) - F.countDistinct(c)).alias("n_surplus"),
         F.count_if(c.isNull()).alias("n_null"),
     )
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order_by: Sequence) -> DataFrame:
-    """Rows with ``rn``, their place in their group."""
-    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)))

@@ -134,7 +134,7 @@ def link_extract(t: Tables):
     return t.pages.select("page_id", F.explode(urls.links(F.col("html"))).alias("link"))
 
 
-_score = " + ".join(f"CASE WHEN contains(low, '{w}') THEN {p} ELSE 0 END" for p, ws in urls.LINK_WORDS.items() for w in ws.split())
+_score = " + ".join(f"CASE WHEN contains(low, '{w}') THEN {p} ELSE 0 END" for p, ws in urls.LINK_WORDS.items() for w in ws)
 
 
 @book.add(f"""
