@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.operators import graph, ranking
+from rowsmith.operators.rules import count_if
 from rowsmith.sources.shared import written
 
 
@@ -134,5 +135,5 @@ def profile(df: DataFrame, column: str) -> DataFrame:
         F.count("*").alias("n_rows"),
         F.countDistinct(c).alias("n_distinct"),
         (F.count(c) - F.countDistinct(c)).alias("n_surplus"),
-        F.count_if(c.isNull()).alias("n_null"),
+        count_if(c.isNull()).alias("n_null"),
     )

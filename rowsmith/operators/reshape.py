@@ -46,7 +46,7 @@ def grid(df: DataFrame, lat: str, lng: str, span: float, steps: int) -> DataFram
 
 
 def unpivot_counts(df: DataFrame) -> DataFrame:
-    """A row for each column: its name, rows, nulls and distinct values.
+    """A row for each column: its name, rows, nulls (null of no rows) and distinct values.
 
     A column at a time: its values are counted, then the counts, so that no row is expanded once per column and a scan
     reads one column only.
@@ -55,7 +55,7 @@ def unpivot_counts(df: DataFrame) -> DataFrame:
     def one(name: str) -> DataFrame:
         values = df.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n"))
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-        sums = values.agg(zero(F.sum("n")).alias("n_rows"), zero(F.sum(F.when(F.col("v").isNull(), F.col("n")))).alias("n_null"), F.count("v").alias("n_distinct"))
+        sums = values.agg(zero(F.sum("n")).alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.count("v").alias("n_distinct"))
         return sums.select(F.lit(name).alias("column"), "n_rows", "n_null", "n_distinct")
 
     return reduce(DataFrame.union, map(one, df.columns))

@@ -79,7 +79,7 @@ SELECT event_type, round(count(*) * 0.001::DOUBLE, 4) AS cost, CASE WHEN count(*
 def cost_model(t: Tables):
     """Fixture: cost, yield with a guard for nothing, and batches."""
     n = F.count("*")
-    return t.events.groupBy("event_type").agg(F.round(n * F.lit(0.001).cast("double"), 4).alias("cost"), rules.percent(F.count_if(F.col("value") > 50), n).alias("yield_pct"), F.ceil(n / 25).cast("long").alias("batches"))
+    return t.events.groupBy("event_type").agg(F.round(n * F.lit(0.001).cast("double"), 4).alias("cost"), rules.percent(rules.count_if(F.col("value") > 50), n).alias("yield_pct"), F.ceil(n / 25).cast("long").alias("batches"))
 
 
 _host = "regexp_replace(regexp_extract(lower(trim(url)), '^(?:https?://)?([^/?#:]+)', 1), '^www\\.', '')"

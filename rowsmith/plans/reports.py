@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowsmith.operators import dedupe, ranking, reshape
-from rowsmith.operators.rules import percent, recommendations
+from rowsmith.operators.rules import count_if, percent, recommendations
 from rowsmith.plans.tables import Book, Tables
 
 book = Book()
 
 
 def pct(part, whole, digits=2):
-    return F.round(part * F.lit(100.0).cast("double") / whole, digits)
+    return F.round(F.try_divide(part * F.lit(100.0).cast("double"), whole), digits)
 
 
 @book.add("""
@@ -26,7 +26,7 @@ def overview_stats(t: Tables):
     kinds = lambda c: F.size(F.collect_set(c)).cast("long")
     return t.orders.agg(
         n.alias("n_orders"), F.countDistinct("o_custkey").alias("customers"), kinds("o_orderstatus").alias("statuses"), kinds("o_orderpriority").alias("priorities"),
-        F.round(F.avg("o_totalprice"), 2).alias("avg_price"), pct(F.count_if(F.col("o_totalprice") > 200000), n).alias("big_pct"), pct(F.count_if(F.col("o_orderstatus") == "F"), n).alias("done_pct"),
+        F.round(F.avg("o_totalprice"), 2).alias("avg_price"), pct(count_if(F.col("o_totalprice") > 200000), n).alias("big_pct"), pct(count_if(F.col("o_orderstatus") == "F"), n).alias("done_pct"),
     )
 
 
@@ -36,7 +36,7 @@ SELECT n_name, count(*) AS total, count(DISTINCT c_custkey) AS customers, round(
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def report_by_group(t: Tables):
     """A3: count, distinct customers, average and conditional share per nation."""
-    big, n = F.count_if(F.col("o_totalprice") > 150000), F.count("*")
+    big, n = count_if(F.col("o_totalprice") > 150000), F.count("*")
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(n.alias("total"), F.countDistinct("c_custkey").alias("customers"), F.round(F.avg("o_totalprice"), 2).alias("avg_price"), big.alias("big_orders"), pct(big, n).alias("big_pct")).orderBy(F.desc("total"), "n_name")
 
@@ -46,7 +46,7 @@ SELECT c_mktsegment AS segment, count(*) AS total, round(avg(c_acctbal), 2) AS a
   round(count_if(c_acctbal < 0) * 100.0::DOUBLE / count(*), 2) AS in_debt_pct FROM customer GROUP BY 1""")
 def report_by_segment(t: Tables):
     """A4: the same report by another key."""
-    debt = F.count_if(F.col("c_acctbal") < 0)
+    debt = count_if(F.col("c_acctbal") < 0)
     return t.customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("total"), F.round(F.avg("c_acctbal"), 2).alias("avg_balance"), debt.alias("in_debt"), pct(debt, F.count("*")).alias("in_debt_pct"))
 
 
@@ -65,7 +65,7 @@ FROM (SELECT o_orderstatus = 'F' AS d, o_totalprice > 150000 AS b FROM orders)""
 def quality_matrix(t: Tables):
     """Two presence flags against each other."""
     d, b = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000
-    return t.orders.agg(F.count_if(d & b).alias("both"), F.count_if(d & ~b).alias("done_only"), F.count_if(~d & b).alias("big_only"), F.count_if(~d & ~b).alias("neither"), pct(F.count_if(d | b), F.count("*")).alias("any_pct"))
+    return t.orders.agg(count_if(d & b).alias("both"), count_if(d & ~b).alias("done_only"), count_if(~d & b).alias("big_only"), count_if(~d & ~b).alias("neither"), pct(count_if(d | b), F.count("*")).alias("any_pct"))
 
 
 @book.add("""
@@ -83,7 +83,7 @@ def bucket_distribution(t: Tables):
 SELECT CAST(ts AS DATE) AS day, min(ts) AS first_at, count(*) AS n, count_if(event_type = 'purchase') AS purchases, count_if(event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def batch_history(t: Tables):
     """One row for each day's batch."""
-    of = lambda k: F.count_if(F.col("event_type") == k)
+    of = lambda k: count_if(F.col("event_type") == k)
     return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("first_at"), F.count("*").alias("n"), of("purchase").alias("purchases"), of("error").alias("errors"), F.countDistinct("user_id").alias("users"))
 
 
@@ -92,7 +92,7 @@ SELECT c_custkey, count(o_orderkey) AS contacts, max(o_orderdate) AS last_at, co
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
 def contact_summary(t: Tables):
     """Contacts of each customer, also of those without any."""
-    of = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    of = lambda s: count_if(F.col("o_orderstatus") == s)
     joined = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("contacts"), F.max("o_orderdate").alias("last_at"), of("F").alias("done"), of("O").alias("open"))
 
@@ -105,7 +105,7 @@ r AS (SELECT *, CASE WHEN sent > 0 THEN round(opened * 100.0::DOUBLE / sent, 2)
 
 
 def _rates(t: Tables):
-    of = lambda k: F.count_if(F.col("event_type") == k)
+    of = lambda k: count_if(F.col("event_type") == k)
     c = t.events.groupBy((F.col("user_id") % 10).alias("campaign")).agg(of("view").alias("sent"), of("click").alias("opened"), of("signup").alias("clicked"), of("purchase").alias("replied"), of("error").alias("bounced"))
     names = {"open_rate": "opened", "click_rate": "clicked", "reply_rate": "replied", "bounce_rate": "bounced"}
     return c.select("*", *(percent(F.col(x), F.col("sent")).alias(n) for n, x in names.items()))
@@ -160,7 +160,7 @@ SELECT p_brand, count(*) AS n, round(avg(rating), 4) AS avg_rating, round(count_
 def keyword_quality(t: Tables):
     """Rating, capped reviews and the share of high ratings as one score."""
     p = t.part.select("p_brand", (F.col("p_size") % 6).alias("rating"), (F.col("p_retailprice") / 20).alias("reviews"))
-    high, n = F.count_if(F.col("rating") >= 4), F.count("*")
+    high, n = count_if(F.col("rating") >= 4), F.count("*")
     d = lambda x: F.lit(x).cast("double")
     score = F.avg("rating") / d(5) * 40 + F.least(F.avg("reviews"), d(100)) / d(100) * 30 + high * d(30) / n
     return p.groupBy("p_brand").agg(n.alias("n"), F.round(F.avg("rating"), 4).alias("avg_rating"), pct(high, n, 1).alias("high_pct"), F.round(score, 1).alias("quality_score"))
@@ -200,7 +200,7 @@ SELECT count(*) AS n, count_if(event_type <> 'error') AS ok, round(count_if(even
   round(count(*) / (epoch(max(ts)) - epoch(min(ts)))::DOUBLE, 6) AS per_second FROM events""")
 def run_statistics(t: Tables):
     """Success rate, value range and rate of a run."""
-    ok, n = F.count_if(F.col("event_type") != "error"), F.count("*")
+    ok, n = count_if(F.col("event_type") != "error"), F.count("*")
     at = F.col("ts").cast("timestamp").cast("double")
     return t.events.agg(n.alias("n"), ok.alias("ok"), pct(ok, n).alias("ok_pct"), F.round(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.round(n / (F.floor(F.max(at)) - F.floor(F.min(at))), 6).alias("per_second"))
 
@@ -213,14 +213,14 @@ def transition_matrix(t: Tables):
     order = F.struct("ts", "event_id")
     u = t.events.groupBy("user_id").agg(F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
     kinds = ["click", "error", "purchase", "signup", "view"]
-    return u.groupBy("first_type").pivot("last_type", kinds).agg(F.count(F.lit(1))).na.fill(0, kinds)
+    return u.groupBy("first_type").agg(*(count_if(F.col("last_type") == k).alias(k) for k in kinds))
 
 
 @book.add("""
 SELECT coalesce(c_mktsegment, 'TOTAL') AS segment, count(*) AS n, count_if(c_acctbal >= 0) AS usable FROM customer GROUP BY ROLLUP (c_mktsegment)""")
 def usable_rollup(t: Tables):
     """Groups and their total."""
-    return t.customer.rollup("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") >= 0).alias("usable")).select(F.coalesce("c_mktsegment", F.lit("TOTAL")).alias("segment"), "n", "usable")
+    return t.customer.rollup("c_mktsegment").agg(F.count("*").alias("n"), count_if(F.col("c_acctbal") >= 0).alias("usable")).select(F.coalesce("c_mktsegment", F.lit("TOTAL")).alias("segment"), "n", "usable")
 
 
 @book.add("""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions import cleaners, emails, urls
 from rowsmith.operators import dedupe, merge, ranking
+from rowsmith.operators.rules import count_if
 from rowsmith.plans.contacts import cases
 from rowsmith.plans.tables import Book, Tables
 from rowsmith.plans.texts import has_any, quoted
@@ -165,7 +166,7 @@ def time_left(t: Tables):
     """M7: seconds that the rest takes at the speed so far, at a poll ten days before the end."""
     at = t.events.agg((F.max("ts") - F.expr("INTERVAL 10 DAY")).alias("at"))  # one row
     exact = lambda c: c.cast("timestamp").cast("double")
-    g = t.events.join(F.broadcast(at)).groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("ts") <= F.col("at")).alias("done"), (exact(F.first("at")) - exact(F.min("ts"))).alias("elapsed"))
+    g = t.events.join(F.broadcast(at)).groupBy("event_type").agg(F.count("*").alias("total"), count_if(F.col("ts") <= F.col("at")).alias("done"), (exact(F.first("at")) - exact(F.min("ts"))).alias("elapsed"))
     return g.select("event_type", "total", "done", F.when(F.col("done") > 0, F.round((F.col("total") - F.col("done")) / (F.col("done") / F.floor("elapsed")), 0)).cast("long").alias("seconds_left"))
 
 
@@ -183,8 +184,8 @@ SELECT event_type, count(*) AS n, count_if(before = 'error') AS n_after_error, c
 def retry_outcomes(t: Tables):
     """How often what follows a failure of the same user succeeds, by kind."""
     r = ranking.with_previous(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], ["event_type"])
-    failed = F.coalesce(F.col("previous_event_type") == "error", F.lit(False))
-    return r.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(failed).alias("n_after_error"), F.count_if(failed & (F.col("event_type") != "error")).alias("n_recovered"))
+    failed = F.col("previous_event_type") == "error"
+    return r.groupBy("event_type").agg(F.count("*").alias("n"), count_if(failed).alias("n_after_error"), count_if(failed & (F.col("event_type") != "error")).alias("n_recovered"))
 
 
 @book.add("""
@@ -315,13 +316,13 @@ def scrape_report(t: Tables):
     low = F.lower("html")
     e = t.pages.select(any_of(low, _dynamic).alias("dynamic"), F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0)))).alias("n"))
     none = F.col("n") == 0
-    g = e.agg(F.count("*").alias("total"), F.count_if(~none).alias("ok"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("emails"), F.count_if(none & ~F.col("dynamic")).alias("st"), F.count_if(none & F.col("dynamic")).alias("dy"), F.count_if("dynamic").alias("sites"))
-    share = lambda c: F.format_string("%.2f%%", F.col(c) * d(100.0) / F.greatest("total", F.lit(1))).alias("percentage")
+    g = e.agg(F.count("*").alias("total"), count_if(~none).alias("ok"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("emails"), count_if(none & ~F.col("dynamic")).alias("st"), count_if(none & F.col("dynamic")).alias("dy"), count_if("dynamic").alias("sites"))
+    share = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.col(c) * d(100.0) / F.greatest("total", F.lit(1)))).alias("percentage")
     part = lambda c, name: F.struct(F.col(c).alias("count"), share(c)).alias(name)
     failed = F.struct((F.col("total") - F.col("ok")).alias("total"), part("st", "static_no_email"), part("dy", "dynamic_no_email"))
     success = F.struct(F.col("ok").alias("count"), share("ok"), F.col("emails").alias("total_emails"))
     report = F.struct(F.struct(F.col("total").alias("total_sites"), share("ok").alias("success_rate")).alias("summary"), F.struct(success.alias("success"), failed.alias("failed")).alias("results"), F.struct((F.col("total") - F.col("sites")).alias("static"), F.col("sites").alias("dynamic")).alias("site_types"))
-    return g.select(F.to_json(report).alias("report"))
+    return g.select(F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
 
 
 WEB = cases("c_custkey", ["'https://www.Shop' || c_custkey || '.com/a'", "'shop.www.de'", "'HTTP://blog.www.shop' || c_nationkey || '.com:8080/x?y#z'", "'www.shop.de/www.html'", "''", "NULL", "' https://shop.com '"])
@@ -341,6 +342,6 @@ SELECT user_id, count_if(event_type <> 'error') AS successful, count_if(event_ty
 def coverage_of_successes(t: Tables):
     """The share of successes that have something, by either guard against none: a divisor of one, or zero."""
     ok, some, signup = F.col("event_type") != "error", F.col("value") > 50, F.col("event_type") == "signup"
-    n, m, s = F.count_if(ok), F.count_if(ok & some), F.count_if(signup)
+    n, m, s = count_if(ok), count_if(ok & some), count_if(signup)
     share = F.round(m * d(100.0) / F.greatest(n, F.lit(1)), 2)
-    return t.events.groupBy("user_id").agg(n.alias("successful"), m.alias("covered"), share.alias("coverage_pct"), F.when(s > 0, F.round(F.count_if(signup & some) * d(100.0) / s, 2)).otherwise(d(0.0)).alias("signup_pct"))
+    return t.events.groupBy("user_id").agg(n.alias("successful"), m.alias("covered"), share.alias("coverage_pct"), F.when(s > 0, F.round(count_if(signup & some) * d(100.0) / s, 2)).otherwise(d(0.0)).alias("signup_pct"))
