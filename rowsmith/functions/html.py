@@ -205,4 +205,6 @@ def dense_words(text: Column, longest: int = 20) -> Column:
     """``plain_words`` without code, hashes and words of over ``longest`` characters, and without a word right behind itself."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\{[^{}]*\}|\b[0-9a-f]{16,}\b|function\s*\([^)]*\)", " ")
     words = F.filter(F.split(plain_words(bare), " "), lambda w: F.length(w) <= longest)
-    return F.array_join(F.filter(words, lambda w, i: (i == 0) | (w != F.coalesce(F.get(words, i - 1), F.lit("")))), " ")
+    apart = lambda ws: F.filter(ws, lambda w, i: (i == 0) | (w != F.coalesce(F.get(ws, i - 1), F.lit(""))))
+    # Words as the one element of a list, so that they are made once and not again for each word.
+    return F.array_join(F.flatten(F.transform(F.array(words), apart)), " ")

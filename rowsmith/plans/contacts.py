@@ -309,7 +309,9 @@ SELECT c_custkey, coalesce(list_aggregate(p, 'string_agg', ' '), '') AS plain, c
 def clean_words(t: Tables):
     """H4: a text's words without markup and noise, and without code, hashes and repeats."""
     s = F.col("s")
-    return written(t, s=SAYS).select("c_custkey", html.plain_words(s).alias("plain"), html.dense_words(s).alias("dense"))
+    # Rows are small in files and long to work on, so that they are dealt out first.
+    dealt = t.customer.select("c_custkey", "c_name").repartition(4 * t.spark.sparkContext.defaultParallelism)
+    return dealt.select("c_custkey", F.expr(SAYS).alias("s")).select("c_custkey", html.plain_words(s).alias("plain"), html.dense_words(s).alias("dense"))
 
 
 # --- links of pages -------------------------------------------------------------------------------------

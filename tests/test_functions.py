@@ -144,3 +144,9 @@ def test_texts_by_rules(spark):
     assert one(spark, html.dense_words(v), v="the the end {x:1} deadbeefdeadbeef " + "w" * 10 + "x" * 15) == "the end"
     assert tuple(one(spark, html.recommended(F.lit(True), v, F.lit(10), F.lit(False)), v="high")) == ("http", 0.95)
     assert tuple(one(spark, html.recommended(F.lit(True), v, F.lit(60), F.lit(False)), v="low")) == ("apify", 0.1)
+
+
+def test_dense_words_makes_words_once(spark):
+    plan = spark.createDataFrame([("a b",)], "v string").select(html.dense_words(F.col("v")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 2  # of the plain words, and of these again
+
