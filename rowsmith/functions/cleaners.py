@@ -6,12 +6,15 @@ character, a blank and a digit beyond ASCII.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches nothing, and is not tried at any place but the first.
+NOTHING = r"\A(?!)"
 WORD, BLANK, DIGIT = r"\p{L}\p{N}_", r"\s\x0B\x1C-\x1F\x{85}\p{Z}", r"\p{Nd}"
 
 # Fixed values of the chain that keeps most: what each stage takes out, in order. (?i): any case; (?s): over line ends.
@@ -99,8 +102,42 @@ def classes(pattern: str, lookaround: bool = False) -> str:
     return "".join(out)
 
 
-def _cut(text: Column, patterns, new: str, flags: str = "") -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, classes(flags + p, True).replace("(?i", "(?iu"), new), patterns, text)
+def literals(pattern: str) -> list[str]:
+    """Runs of characters without blanks, in small letters, each of which stands in whatever the pattern matches; none for one with alternatives or groups."""
+    pattern = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    if re.search(r"(?<!\\)[|(]", pattern):
+        return []
+    parts = re.findall(r"(\[\^?\]?[^\]]*\]|\\.|.)([*?]\??|\{\d+(?:,\d*)?\}|\+\??)?", pattern)
+    plain = lambda c, times: "\n" if c[0] == "[" or c in (".", "^", "$") or re.fullmatch(r"\\\w", c) or times[:1] in ("*", "?", "{") else c[-1] + ("\n" if times else "")
+    return "".join(plain(*p) for p in parts).lower().split()
+
+
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def folded(text: Column) -> Column:
+    """Small letters, with the four characters beyond ASCII that equal a Latin letter in any case."""
+    return F.lower(F.when(text.rlike("[\u017f\u0131\u0130\u212a]"), F.translate(text, "\u017f\u0131\u0130\u212a", "siik")).otherwise(text))
+
+
+def _cut(text: Column, patterns, new: str, flags: str = "", low: Column | None = None) -> Column:
+    """Each pattern in turn; given ``low``, the folded text before the first of them, most only where it has all that they spell out.
+
+    That is enough if ``new`` is a blank, as what is sought holds none.
+    """
+
+    def there(low: Column, p: str) -> Column:
+        if "</?" in p:  # a tag, opened or closed
+            return there(low, p.replace("</?", "<")) | there(low, p.replace("</?", "</"))
+        return reduce(lambda a, b: a & b, (F.contains(low, F.lit(x)) for x in literals(p)))
+
+    def cut(t: Column, p: str) -> Column:
+        whole = F.lit(classes(flags + p, True).replace("(?i", "(?iu"))
+        return F.regexp_replace(t, F.when(there(low, p), whole).otherwise(F.lit(NOTHING)) if low is not None and literals(p) else whole, F.lit(new))
+
+    return reduce(cut, patterns, text)
 
 
 def unescaped(text: Column) -> Column:
@@ -131,10 +168,10 @@ def _tidied(text: Column, last: str) -> Column:
 
 def smart(html: Column) -> Column:
     """Readable text of a page: markup, left-over script and style, stock phrases and words without content go; null is empty."""
-    text = _cut(F.coalesce(html, F.lit("")), SMART_MARKUP, " ")
+    with_low = lambda text, then: once(text, lambda t: once(folded(t), lambda low: then(t, low)))
+    text = with_low(F.coalesce(html, F.lit("")), lambda t, low: _cut(t, SMART_MARKUP, " ", low=low))
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), SMART_ENTITIES.items(), text)
-    text = _cut(_cut(text, SMART_SCRIPT, " "), SMART_STYLE, " ")
-    text = _cut(text, SMART_PHRASES, " ", "(?i)")
+    text = with_low(text, lambda t, low: _cut(_cut(_cut(t, SMART_SCRIPT, " ", low=low), SMART_STYLE, " ", low=low), SMART_PHRASES, " ", "(?i)", low))
     return _tidied(_words(text, lambda _: F.lit(True)), SMART_LAST)
 
 

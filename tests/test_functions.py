@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rowsmith.functions import emails, html, names, urls
+from rowsmith.functions import cleaners, emails, html, names, urls
 
 
 def one(spark, column, **values):
@@ -150,3 +150,21 @@ def test_dense_words_makes_words_once(spark):
     plan = spark.createDataFrame([("a b",)], "v string").select(html.dense_words(F.col("v")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 2  # of the plain words, and of these again
 
+
+def test_patterns_are_sought_where_their_literals_are(spark, monkeypatch):
+    assert cleaners.literals(r"(?i)var\s+\w+\s*=\s*[^;]+;") == ["var", "=", ";"]
+    assert cleaners.literals(r"rgba?\([^)]+\)") == ["rgb", "(", ")"] and cleaners.literals(r"[a-f]{8,}") == [] and cleaners.literals("a|b") == []
+    assert cleaners.literals(r"error \d+") == ["error"] and cleaners.literals(r"(?s)<!--.*?-->") == ["<!--", "-->"]
+    v = F.col("v")
+    texts = [
+        "keep CooKie404Policy ALL RIGHTS RESERVED here", "keep \u017fign up for, ma\u0131n; \u017fKip to content <D\u0130V a>words</d\u0131v> \u212aeep \u017fKIP to content",
+        "&lt;b&gt; &lt;script&gt; x &lt;/script&gt; var abc = 5; keep rgb(1,2) top", "<p <div> a>b</p><scr<br>ipt>c</script> coo<i></i>kie policy", None, "",
+    ]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    found = [r.x for r in df.select(cleaners.smart(v).alias("x")).collect()]
+    monkeypatch.setattr(cleaners, "literals", lambda _: [])
+    assert found == [r.x for r in df.select(cleaners.smart(v).alias("x")).collect()] and "cookie" not in found[1]
+    monkeypatch.undo()
+    # Texts without any literal of a stage leave its expression out: the plan has a condition for each.
+    plan = spark.createDataFrame([("a",)], "v string").select(cleaners.smart(v).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("CASE WHEN") >= 50
