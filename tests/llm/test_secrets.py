@@ -138,3 +138,35 @@ def test_sample_is_bounded_and_steady(spark):
     assert len(windows) == len(set(windows)) <= 100 and max(np.bincount(y)) <= 50
     again = secret_scan.labelled_sample(secret_scan.find(documents(spark, rows).repartition(2)), 100)
     assert again[0] == windows and (again[3] == y).all()
+
+
+def test_scan_learns_from_all_windows(spark, monkeypatch):
+    """More windows than a sample held, in several shards: all are counted, and thresholds keep what plain ones over the whole fold do."""
+    rng = random.Random(6)
+    run = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, f"{run(5, 'abcdef')} token={run(rng.randint(14, 30), 'ABCDEFGHabcdefgh0123456789')} and {run(rng.randint(16, 24), '0123456789abcdef')} on 20{k % 90 + 10}-{rng.randint(10, 99999)}", "a") for k in range(4000)]
+    df = documents(spark, rows)
+    monkeypatch.setattr(secret_scan, "SHARD", 3000)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 2)
+    used = []
+    score_task = secret_scan.score_task
+    monkeypatch.setattr(secret_scan, "score_task", lambda model: (used.append(model), score_task(model))[1])
+    secret_scan.scan(df)
+    model = used[0]
+    each = {}
+    for r in secret_scan.find(df).collect():
+        for c in r.candidates:
+            old = each.get(bytes(c.window), (0, 0, 0))
+            each[bytes(c.window)] = (max(old[0], c.based), max(old[1], c["size"]), max(old[2], c["shape"]))
+    assert len(each) > secret_scan.SAMPLE * 0.9
+    fold = [w for w in sorted(each) if hashlib.blake2b(w, digest_size=1).digest()[0] % 5 == 0]
+    y, sizes, shapes = (np.array([each[w][k] for w in fold], np.int64) for k in range(3))
+    assert model.held_out["findings"] == y.sum() > secret_scan.SAMPLE / 10
+    p = secret_scan.probabilities(model, fold, sizes)
+    assert np.allclose(model.thresholds, [secret_scan.threshold(p[shapes == s], y[shapes == s], secret_scan.RECALL) for s in (0, 1)], atol=1e-4)
+    said = p >= np.array(model.thresholds)[shapes]
+    assert abs(model.held_out["recall"] - said[y == 1].mean()) < 1e-3 and abs(model.held_out["precision"] - y[said].mean()) < 1e-3
+    codes, extra = secret_scan.coded(fold, sizes)
+    assert np.allclose(model.scale, secret_scan.calibrated(secret_scan.forward(model.weights, codes, extra)[0], y), rtol=1e-4)
+    again = secret_scan.fit_all(secret_scan.find(df.repartition(5)))
+    assert all((again.weights[k] == v).all() for k, v in model.weights.items()) and np.allclose(again.thresholds, model.thresholds)
