@@ -375,3 +375,12 @@ def test_many_pairs_side_by_side():
         want = [lines.edit_distance(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
         assert lines.within(a, b, most).tolist() == want and 100 < sum(want) < 1400
         assert [lines.edit_distance(x, y, int(k)) <= k for x, y, k in zip(a, b, most, strict=True)] == want
+
+
+def test_line_dedup_leaves_only_tables_that_its_rows_are_read_from(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_path", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{random.random()}")
+    rows = [(k, f"some words that stand in line {k % 7} of all lines\n{'x y z ' * (k % 5)} number {k}", "a") for k in range(60)]
+    got = lines.line_groups(documents(spark, rows))
+    left = [p.name.rsplit("-", 2)[0] for p in tmp_path.iterdir()]
+    assert not {"line-buckets", "wanted-lines", "line-texts"} & set(left) and left.count("line-links") <= 2
+    assert got.count() == 2 * len(rows) and {r.n_lines for r in got.collect()} != {1}
