@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import U64, map_array, put_array, shared_path, text_bytes, words_of
+from rowsmith.llm.common import U64, map_array, put_array, released, shared_path, text_bytes, tidy, words_of
 
 MARK = "\u2581"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -112,7 +112,10 @@ def store_task(path: str, uri: str):
         put(f"{at}-word", [w.encode() for w in plain])
         put(f"{at}-ids", [" ".join(map(str, i)).encode() for i in ids])
         put(f"{at}-text", [t.encode() for t in (sp.decode(ids) if ids else [])])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(plain)], pa.int64())})
+        n = len(plain)
+        del counts, words, h, order, plain, ids
+        released()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     return run
 
@@ -124,7 +127,7 @@ def build(docs: DataFrame, model_path: str, shards: int | None = None) -> dict |
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     uri = shared_path(spark, "pieces")
-    lists = _input(docs).select("text").mapInArrow(distinct_task(shards), "shard int, words array<string>")
+    lists = _input(docs).select("text").mapInArrow(tidy(distinct_task(shards)), "shard int, words array<string>")
     stored = lists.groupBy("shard").applyInArrow(store_task(model_path, uri), "shard int, n long").collect()  # a short row for each shard
     return {"uri": uri, "shards": shards, "stored": {r.shard for r in stored if r.n}}
 
@@ -248,9 +251,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     One row per row, repeated rows and null ids included; a null text is empty and has the end id only. Other
     columns are not read. ``model_path`` must be there on every executor, as installed packages are.
     """
-    return _input(docs).mapInArrow(full_task(model_path, build(docs, model_path)), "doc_id long, ids array<int>, decoded string")
+    return _input(docs).mapInArrow(tidy(full_task(model_path, build(docs, model_path))), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """As ``encode``, with the SHA-256 of the ids (decimal, one space between) and of the decoded text."""
-    return _input(docs).mapInArrow(digest_task(model_path, build(docs, model_path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _input(docs).mapInArrow(tidy(digest_task(model_path, build(docs, model_path))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

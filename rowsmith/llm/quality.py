@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import ALNUM, U64, mix, row_key, slices, text_bytes, words_of, written
+from rowsmith.llm.common import ALNUM, U64, mix, released, row_key, slices, text_bytes, tidy, words_of, written
 from rowsmith.llm.minhash import weighted
 
 #: Labelled rows that the fit may use at most, and rows of it that must have a feature.
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs:
     """
     doc_id = F.col("doc_id") if "doc_id" in labelled.columns else F.lit(None)
     rows = labelled.filter("grade is not null").select(row_key(doc_id, F.col("text")).alias("rank"), F.col("text").cast("string").alias("text"), F.col("grade").cast("int").alias("grade"))
-    chosen = written(rows.mapInArrow(feature_task, "rank binary, grade int, places array<long>"), "labelled")
+    chosen = written(rows.mapInArrow(tidy(feature_task), "rank binary, grade int, places array<long>"), "labelled")
     sizes = chosen.select("rank", "grade", F.size("places").alias("n")).orderBy("rank", "grade").limit(sample).collect()  # bounded by sample
     total = np.cumsum([r.n for r in sizes])
     inside = int(np.searchsorted(total, most_places, side="right"))
@@ -118,14 +118,21 @@ def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs:
     y = held.column("grade").to_numpy().astype(np.int64)
     lists = held.column("places").combine_chunks() if len(y) else pa.array([], pa.list_(pa.int64()))
     del held
-    place = lists.flatten().to_numpy()
+    place = lists.flatten().to_numpy().astype(np.int32)  # places are below 2**30
     doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy())) if len(y) else place
-    known, column, docs_with = np.unique(place, return_inverse=True, return_counts=True)
-    del place, lists
-    keep = docs_with >= least_docs
-    new = np.cumsum(keep) - 1
-    often = keep[column] if len(column) else np.zeros(0, bool)
-    doc, column, known = doc[often], new[column[often]], known[keep]
+    del lists
+    known, docs_with = np.unique(place, return_counts=True)
+    known = known[docs_with >= least_docs]
+    # By runs of features, so that what is held besides them stays small.
+    column = np.zeros(len(place), np.int32)
+    often = np.zeros(len(place), bool)
+    for i in range(0, len(place) if len(known) else 0, 1 << 20):
+        part = slice(i, i + (1 << 20))
+        column[part] = np.minimum(np.searchsorted(known, place[part]), len(known) - 1)
+        often[part] = known[column[part]] == place[part]
+    del place
+    doc, column, known = doc[often], column[often], known.astype(np.int64)
+    released()
     if not len(y):
         return {"known": known, "weights": np.zeros(0), "thresholds": np.full(grades - 1, -50.0) + np.arange(grades - 1), "grades": grades}
     share = np.array([np.clip((y <= k).mean(), 0.01, 0.99) for k in range(grades - 1)])
@@ -136,6 +143,8 @@ def fit(labelled: DataFrame, grades: int = 3, sample: int = SAMPLE, least_docs:
         _, gradient = loss_and_gradient(theta, doc, column, y, len(known), grades, decay)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    del doc, column, often, m, v
+    released()
     return {"known": known, "weights": theta[: len(known)].copy(), "thresholds": thresholds_of(theta[len(known) :]), "grades": grades}
 
 
@@ -191,7 +200,7 @@ def score(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     ``doc_id`` and ``text`` are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score_task(model, least), "doc_id long, text string, expected_grade double, p_top_grade double, kept boolean").drop("text")
+    return rows.mapInArrow(tidy(score_task(model, least)), "doc_id long, text string, expected_grade double, p_top_grade double, kept boolean").drop("text")
 
 
 def select(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -208,4 +217,4 @@ def select(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
                 for scored in task(iter([texts])):
                     yield batch.filter(scored.column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -384,3 +384,24 @@ def test_line_dedup_leaves_only_tables_that_its_rows_are_read_from(spark, tmp_pa
     left = [p.name.rsplit("-", 2)[0] for p in tmp_path.iterdir()]
     assert not {"line-buckets", "wanted-lines", "line-texts"} & set(left) and left.count("line-links") <= 2
     assert got.count() == 2 * len(rows) and {r.n_lines for r in got.collect()} != {1}
+
+
+def test_workers_keep_no_memory_of_ended_tasks(spark):
+    """What a task has freed goes back to the system, or each worker that Spark keeps would hold its largest task's memory."""
+
+    def run(batches, tidy):
+        def task(batches):
+            for batch in batches:
+                held = [bytes(60_000) for _ in range(4000)]
+                keep = [bytes(60_000) for _ in held[::200]]  # among what is freed
+                yield pa.record_batch([pa.array([len(held)])], names=["n"])
+                del held
+                hold.append(keep)
+
+        hold = []
+        yield from (common.tidy(task) if tidy else task)(batches)
+        with open("/proc/self/smaps_rollup") as f:
+            yield pa.record_batch([pa.array([sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon"))])], names=["n"])
+
+    kept = [spark.range(0, 1, 1, 1).mapInArrow(lambda b, t=t: run(b, t), "n long").collect()[-1].n for t in (False, True)]
+    assert kept[1] < kept[0] - 100_000
