@@ -405,3 +405,27 @@ def test_workers_keep_no_memory_of_ended_tasks(spark):
 
     kept = [spark.range(0, 1, 1, 1).mapInArrow(lambda b, t=t: run(b, t), "n long").collect()[-1].n for t in (False, True)]
     assert kept[1] < kept[0] - 100_000
+
+
+def test_pairs_far_off_the_diagonal_and_of_different_lengths():
+    rng = random.Random(8)
+    a, b, most = [], [], []
+    for k in range(900):
+        x = "".join(rng.choice("abcde ") for _ in range(rng.randint(150, 420)))
+        cut = rng.randint(0, 90)
+        y = [x[cut:], x[:-cut] if cut else x, x + x[:cut], x[:100] + x[100 + cut :], x[cut:] + x[:cut]][k % 5]
+        y = "".join(c if rng.random() > 0.06 else rng.choice("abxyz") for c in y)
+        a, b, most = [*a, x], [*b, y], [*most, max(0, edit(x, y) + rng.choice([-9, -1, 0, 1, 9]))] if k % 9 == 0 else [*most, rng.randint(20, 120)]
+    most = np.array(most)
+    want = [lines.edit_distance(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
+    assert lines.within(a, b, most).tolist() == want and 100 < sum(want) < 800
+
+
+def test_texts_are_dealt_in_parts(spark, monkeypatch):
+    """The same groups in one part as in several."""
+    docs = documents(spark, line_rows())
+    got = []
+    for parts in (1, 3):
+        monkeypatch.setattr(lines, "PARTS", parts)
+        got.append(sorted(map(str, lines.line_groups(docs).collect())))
+    assert got[0] == got[1]
