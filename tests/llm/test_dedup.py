@@ -429,3 +429,81 @@ def test_texts_are_dealt_in_parts(spark, monkeypatch):
         monkeypatch.setattr(lines, "PARTS", parts)
         got.append(sorted(map(str, lines.line_groups(docs).collect())))
     assert got[0] == got[1]
+
+
+def test_lines_that_share_a_bucket_by_chance_are_told_apart_first(spark, monkeypatch):
+    """Their number grows with the square of the input: none of them is a row of the search for links."""
+    rng = random.Random(6)
+    parts = ["the", "of", "on", "er", "in", "an", "re", "th", "at", "ed"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(9)), None) for k in range(3000)] + [(5000, "a line that two documents share but for one word here", None), (5001, "a line that two documents share but for one thing here", None)]
+    seen = []
+
+    def linked(members, *_, **__):
+        seen.append(members.count())
+        return spark.createDataFrame([], "id binary, component binary")
+
+    monkeypatch.setattr(lines, "linked", linked)
+    lines.line_groups(documents(spark, rows))
+    assert 2 <= seen[0] < 600
+
+
+def test_buckets_of_a_line_do_not_hang_on_the_line_before():
+    from rowsmith.llm.common import ALNUM, text_bytes, words_of
+
+    def held(texts):
+        data, bounds = text_bytes(pa.array(texts))
+        line, bucket = lines.buckets(data, bounds, *words_of(data, bounds, ALNUM))
+        return set(bucket[line == len(texts) - 1].tolist())
+
+    assert held(["for the of any one"]) == held(["ends in a word", "for the of any one"]) == held(["ends so. ", "for the of any one"])
+    texts = ["A--b  é!\n", " x", "", "\n", "日本 Z"]
+    assert lines.normalised_texts(*text_bytes(pa.array(texts))).to_pylist() == [lines.normal(t) for t in texts]
+
+
+def near_and_far(n, rng):
+    """Lines in threes: a line, one with some words changed, and another one."""
+    word = lambda: "".join(rng.choice("etaoinsr") for _ in range(rng.randrange(2, 9)))
+    out = []
+    for k in range(n):
+        a = [word() for _ in range(rng.choice([6, 9, 14, 40]))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [word()] * rng.randrange(3)
+        out += [" ".join(a), " ".join(b) or "x", " ".join(word() for _ in a)]
+    return out
+
+
+def test_ways_by_words_take_no_fewer_edits_than_needed():
+    texts = near_and_far(150, random.Random(3))
+    for a, b, c in zip(texts[::3], texts[1::3], texts[2::3], strict=True):
+        for x, y in ((a, b), (b, a), (a, c), (a, ""), ("", b), (a, a + " end"), ("start " + a, a)):
+            most = max(len(x), len(y)) // 5
+            got, need = lines.word_edits(x, y, most), edit(x, y)
+            assert got >= need or got > most
+    assert lines.word_edits("one two three", "one three", 4) == 4 and lines.word_edits("same", "same", 0) == 0
+
+
+def test_buckets_that_are_looked_through_lose_no_link():
+    """All pairs of a bucket that are linked end in one group, also in large buckets; short lines that are not linked go."""
+    rng = random.Random(11)
+    texts = list(dict.fromkeys(near_and_far(60, rng)))
+    size, bits = lines.sketches(texts)
+    nodes = [bytes([k % 256, k // 256]) * 8 for k in range(len(texts))]
+    members = [(1, k) for k in range(len(texts))] + [(2 + j, k) for j in range(60) for k in {3 * j, 3 * j + 1, 3 * j + 2} if k < len(texts)]
+    members += [(100 + j, k) for j in range(2) for k in rng.sample(range(len(texts)), 20)]
+    full = [len(t) <= lines.IN_FULL for t in texts]
+    table = pa.table({"bucket": [b for b, _ in members], "node": pa.array([nodes[k] for _, k in members], pa.binary()), "size": pa.array([int(size[k]) for _, k in members], pa.int32()), "bits": pa.array([None if full[k] else bits[k].tobytes() for _, k in members], pa.binary()), "words": [texts[k] if full[k] else None for _, k in members]})
+    got = lines.looked_through(0.8)(table)
+    groups = {}
+    for b, node in zip(got["bucket"].to_pylist(), got["node"].to_pylist(), strict=True):
+        groups.setdefault(b, set()).add(node)
+    of = {}
+    for b, k in members:
+        of.setdefault(b, []).append(k)
+    linked = {(a, b) for own in of.values() for a in own for b in own if a < b and edit(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(linked) > 20
+    assert all(any({nodes[a], nodes[b]} <= g for g in groups.values()) for a, b in linked)
+    ends = [g for g in groups.values() if len(g) <= 3 and all(full[nodes.index(x)] for x in g)]
+    assert ends and all(any((min(p), max(p)) in linked for p in [(nodes.index(x), nodes.index(y)) for x in g for y in g if x != y]) for g in ends)
