@@ -488,10 +488,10 @@ def test_ways_by_words_take_no_fewer_edits_than_needed():
 def test_buckets_that_are_looked_through_lose_no_link():
     """All pairs of a bucket that are linked end in one group, also in large buckets; short lines that are not linked go."""
     rng = random.Random(11)
-    texts = list(dict.fromkeys(near_and_far(60, rng)))
+    texts = list(dict.fromkeys(near_and_far(120, rng)))
     size, bits = lines.sketches(texts)
     nodes = [bytes([k % 256, k // 256]) * 8 for k in range(len(texts))]
-    members = [(1, k) for k in range(len(texts))] + [(2 + j, k) for j in range(60) for k in {3 * j, 3 * j + 1, 3 * j + 2} if k < len(texts)]
+    members = [(1, k) for k in range(len(texts))] + [(99, k) for k in range(200)] + [(2 + j, k) for j in range(60) for k in {3 * j, 3 * j + 1, 3 * j + 2} if k < len(texts)]
     members += [(100 + j, k) for j in range(2) for k in rng.sample(range(len(texts)), 20)]
     full = [len(t) <= lines.IN_FULL for t in texts]
     table = pa.table({"bucket": [b for b, _ in members], "node": pa.array([nodes[k] for _, k in members], pa.binary()), "size": pa.array([int(size[k]) for _, k in members], pa.int32()), "bits": pa.array([None if full[k] else bits[k].tobytes() for _, k in members], pa.binary()), "words": [texts[k] if full[k] else None for _, k in members]})
@@ -502,8 +502,8 @@ def test_buckets_that_are_looked_through_lose_no_link():
     of = {}
     for b, k in members:
         of.setdefault(b, []).append(k)
-    linked = {(a, b) for own in of.values() for a in own for b in own if a < b and edit(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
-    assert len(linked) > 20
+    linked = {(a, b) for own in of.values() for a in own for b in own if a < b and lines.edit_distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(texts) > 256 and len(linked) > 20
     assert all(any({nodes[a], nodes[b]} <= g for g in groups.values()) for a, b in linked)
     ends = [g for g in groups.values() if len(g) <= 3 and all(full[nodes.index(x)] for x in g)]
     assert ends and all(any((min(p), max(p)) in linked for p in [(nodes.index(x), nodes.index(y)) for x in g for y in g if x != y]) for g in ends)
